@@ -15,6 +15,7 @@ MIN_JACCARD = 0.3
 TODO_WORDS = ("TODO", "FIXME", "XXX")
 
 WHITESPACE = " \t\n\r"
+_WORD = r"[\p{L}\p{N}_]"
 _SPLIT = "[ \\t\\n\\r]+"
 _NUMBER_TOKEN = r"(?<![^ \t\n\r])[0-9]+(?:\.[0-9]+)?(?![^ \t\n\r])"
 
@@ -39,8 +40,8 @@ def sketch(tokens: Column) -> Column:
 
 
 def has_marker(text: Column, words=TODO_WORDS) -> Column:
-    """True where ``text`` holds one of ``words`` as a whole word, in any case."""
-    return F.regexp_like(text, F.lit(r"(?i)\b(?:" + "|".join(words) + r")\b"))
+    """True where ``text`` holds one of ``words`` as a whole word, in any case; letters and digits of any script bound it."""
+    return F.regexp_like(text, F.lit(rf"(?iu)(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})"))
 
 
 def lines_of(text: Column) -> Column:
