@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import MIN_JACCARD, name_or_fallback, sketch
-from tessera.operators.skew import HEAVY_MIN_ROWS, lookup_join, paired_members
+from tessera.operators.skew import lookup_join, paired_members
 from tessera.session import stage
 
 COLD_MAX = 1_000
@@ -53,7 +53,7 @@ def sketch_units(units: DataFrame) -> DataFrame:
     )
 
 
-def fold_copies(rows: DataFrame, digest: str, min_rows: int = HEAVY_MIN_ROWS) -> tuple[DataFrame, DataFrame]:
+def fold_copies(rows: DataFrame, digest: str) -> tuple[DataFrame, DataFrame]:
     """Group rows ``key, <digest>`` by digest: ``(key, <digest>, rep, last, copies)`` and ``(rep, second)``.
 
     ``rep`` and ``last`` are the smallest and largest key, ``second`` the smallest after ``rep``. The groups come from
@@ -65,7 +65,7 @@ def fold_copies(rows: DataFrame, digest: str, min_rows: int = HEAVY_MIN_ROWS) ->
         ),
         "copies",
     )
-    members = stage(lookup_join(rows.select("key", digest), groups, [digest], "copies", "key", min_rows), "members")
+    members = stage(lookup_join(rows.select("key", digest), groups, [digest], "copies", "key"), "members")
     seconds = (
         members.filter((F.col("copies") > 1) & (F.col("key") != F.col("rep")))
         .groupBy("rep")
@@ -80,11 +80,11 @@ def _needed(n: Column) -> Column:
     return F.floor((n * tenths + 9) / 10).cast("int")
 
 
-def build_index(units: DataFrame, cold_max: int = COLD_MAX, min_rows: int = HEAVY_MIN_ROWS) -> SketchIndex:
+def build_index(units: DataFrame) -> SketchIndex:
     """Sketch ``units(key, tokens)`` and build the tables of the join."""
     sketched = sketch_units(units)
     usable = sketched.filter(F.col("n") > 0)
-    members, seconds = fold_copies(usable, "digest", min_rows)
+    members, seconds = fold_copies(usable, "digest")
     reps = members.filter(F.col("key") == F.col("rep")).select("key")
     distinct = usable.join(reps, "key", "left_semi")
     postings = distinct.select(F.col("key").alias("sid"), "n", F.explode("fp").alias("h"))
@@ -98,7 +98,7 @@ def build_index(units: DataFrame, cold_max: int = COLD_MAX, min_rows: int = HEAV
     )
     needed = _needed(F.col("n"))
     ranked = (
-        lookup_join(postings, frequency, ["h"], "df", "sid", min_rows)
+        lookup_join(postings, frequency, ["h"], "df", "sid")
         .groupBy("sid", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "hid"))).alias("by_df"))  # at most SKETCH_SIZE entries
         .filter(F.size("by_df") >= needed)
@@ -106,7 +106,7 @@ def build_index(units: DataFrame, cold_max: int = COLD_MAX, min_rows: int = HEAV
             "sid",
             "n",
             F.col("by_df.hid").alias("shared"),
-            F.size(F.filter("by_df", lambda p: p["df"] <= cold_max)).alias("n_cold"),
+            F.size(F.filter("by_df", lambda p: p["df"] <= COLD_MAX)).alias("n_cold"),
             (F.size("by_df") - needed + 1).alias("n_prefix"),
         )
     )
@@ -144,7 +144,7 @@ def cold_pairs(index: SketchIndex) -> DataFrame:
     )
 
 
-def hot_profiles(index: SketchIndex, min_rows: int = HEAVY_MIN_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hot_profiles(index: SketchIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches folded by ``(n, hot)``: profile rows, their members, and the gated profile pairs.
 
     Profiles are ``pid, n, hot, sketches, second``; members ``sid, pid``; pairs ``ga, gb, inter, jaccard`` with
@@ -154,7 +154,7 @@ def hot_profiles(index: SketchIndex, min_rows: int = HEAVY_MIN_ROWS) -> tuple[Da
         "shape", F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("hot").cast("array<string>")), 256)
     )
     tagged = stage(tagged.withColumnRenamed("sid", "key"), "profile-rows")
-    rows, seconds = fold_copies(tagged, "shape", min_rows)
+    rows, seconds = fold_copies(tagged, "shape")
     members = rows.select(F.col("key").alias("sid"), F.col("rep").alias("pid"))
     profiles = stage(
         tagged.join(rows.filter(F.col("key") == F.col("rep")).select("key", "copies"), "key")
@@ -222,7 +222,7 @@ def _best(candidates: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def best_by_sketch(index: SketchIndex, min_rows: int = HEAVY_MIN_ROWS) -> DataFrame:
+def best_by_sketch(index: SketchIndex) -> DataFrame:
     """Each unit's best partner with Jaccard as score: ``key, score, partner``; units without one are absent."""
     members = index.members
     # A unit with a copy of its sketch: score 1, the smallest other key. Nothing can beat or precede that.
@@ -239,18 +239,18 @@ def best_by_sketch(index: SketchIndex, min_rows: int = HEAVY_MIN_ROWS) -> DataFr
         pairs.select(F.col("b").alias("key"), "score", F.col("a").alias("partner"))
     )
     if not index.profiles.isEmpty():
-        candidates = candidates.unionByName(_best_hot(index, min_rows))
+        candidates = candidates.unionByName(_best_hot(index))
     single = _best(candidates.join(alone, "key", "left_semi"), "key")
     return smallest.unionByName(first).unionByName(single)
 
 
-def _best_hot(index: SketchIndex, min_rows: int) -> DataFrame:
+def _best_hot(index: SketchIndex) -> DataFrame:
     """Best hot-only candidates per sketch, found per profile: the members of a profile share them.
 
     A candidate's score counts hot hashes only. Where the two also share a cold hash that is less than their true
     score, but then ``cold_pairs`` lists the pair with the true one, so the maximum over both is right.
     """
-    profiles, members, pairs = hot_profiles(index, min_rows)
+    profiles, members, pairs = hot_profiles(index)
     firsts = profiles.select(F.col("pid"), F.col("sketches"), F.col("second"))
     across = pairs.filter(F.col("ga") != F.col("gb"))
     toward = across.select(F.col("ga").alias("pid"), F.col("jaccard").alias("score"), F.col("gb").alias("partner")).unionByName(
@@ -259,7 +259,7 @@ def _best_hot(index: SketchIndex, min_rows: int) -> DataFrame:
     other = _best(toward, "pid").select("pid", F.struct("score", "partner").alias("other"))
     own = pairs.filter(F.col("ga") == F.col("gb")).select(F.col("ga").alias("pid"), F.col("jaccard").alias("own"))
     per_profile = stage(firsts.join(other, "pid", "left").join(own, "pid", "left"), "profile-best")
-    rows = lookup_join(members, per_profile, ["pid"], "sketches", "sid", min_rows)
+    rows = lookup_join(members, per_profile, ["pid"], "sketches", "sid")
     sibling = F.when(F.col("sid") == F.col("pid"), F.col("second")).otherwise(F.col("pid"))
     options = F.array(F.col("other"), F.struct(F.col("own").alias("score"), sibling.alias("partner")))
     return (

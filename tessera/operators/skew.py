@@ -21,18 +21,17 @@ def lookup_join(
     keys: Sequence[str],
     weight: str,
     spread_by: str,
-    min_rows: int = HEAVY_MIN_ROWS,
 ) -> DataFrame:
     """Inner equi-join of ``facts`` to ``dim``, which holds each key once and in ``weight`` its number of facts.
 
     Facts of a heavy key are salted by ``spread_by`` and the key's dim row is repeated per salt, so a key with a
     third of all rows becomes many even join groups. What is broadcast is the list of heavy keys: fewer than
     ``HEAVY_SHARE`` rows by the pigeonhole principle, however large the data. Without a heavy key it is a plain join.
-    ``dim`` is read more than once, so hand in a staged table.
+    ``dim`` is read more than once: first for the weights alone, so let it be staged or cheap to compute.
     """
     keys = list(keys)
     stats = dim.agg(F.sum(weight).alias("total"), F.max(weight).alias("top")).first()
-    limit = max((stats["total"] or 0) // HEAVY_SHARE, min_rows)
+    limit = max((stats["total"] or 0) // HEAVY_SHARE, HEAVY_MIN_ROWS)
     if (stats["top"] or 0) <= limit:
         return facts.join(dim, keys)
     salts = F.ceil(F.col(weight) / limit).cast("int")
@@ -49,17 +48,16 @@ def paired_members(
     members: DataFrame,
     group: str,
     member: str,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """For group pairs ``(ga, gb, …)`` the member pairs, as structs ``a`` and ``b`` next to the pair's columns.
 
-    ``members`` holds ``group``, ``member`` and payload columns. Groups are cut into blocks of about ``block_rows``
+    ``members`` holds ``group``, ``member`` and payload columns. Groups are cut into blocks of about ``BLOCK_ROWS``
     members and the join key names one block on each side, so no join group is larger than a block squared, whatever
     the group's size. A caller filters the result directly: the pairs stream through the join and are not stored.
     For ``ga = gb`` each pair of different members comes once, smaller member first.
     """
     sizes = stage(members.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
-    blocks = F.ceil(F.col("_size") / block_rows).cast("int")
+    blocks = F.ceil(F.col("_size") / BLOCK_ROWS).cast("int")
     count_a = sizes.select(F.col(group).alias("ga"), blocks.alias("_blocks_a"))
     count_b = sizes.select(F.col(group).alias("gb"), blocks.alias("_blocks_b"))
     grid = (

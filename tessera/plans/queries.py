@@ -145,7 +145,7 @@ def neardup_scored(spark, sf_dir):
     documents = _documents(spark, sf_dir)
     index = build_index(_document_tokens(spark, sf_dir))
     by_sketch = stage(best_by_sketch(index), "best-by-sketch")
-    sources = documents.select(F.col("doc_id").alias("key"), F.col("text").alias("source"))
+    sources = spread(documents.select(F.col("doc_id").alias("key"), F.col("text").alias("source")))
     best = best_by_text(index, sources, by_sketch).withColumn("score", round3(F.col("score")))
     return attach_matches(best, document_units(documents)).withColumnRenamed("key", "doc_id")
 
