@@ -73,13 +73,27 @@ _CODE = """
       SELECT id, path, 'method' AS nodetype, 'm' AS name, 'C' || id AS class_name, 'C' || id || '.m' AS qualname,
              3 AS lineno, 2 + l + e + c AS lines, 2 + l + e AS statements, 2 + 2 * l + e AS expressions,
              0 AS expression_statements, 1 + e AS cyclomatic_complexity, 3 AS parameters, 0.333 AS type_coverage,
-             c AS todo_comments, 28 + 14 * l + 19 * e + 15 * c + 17 AS source_chars
+             c AS todo_comments, 28 + 22 * l + 19 * e + 15 * c + 17 AS source_chars
       FROM cnt
       UNION ALL
       SELECT id, path, 'function', 'f' || id, NULL, 'f' || id, 3 + (2 + l + e + c) + 1, 2 + g, 2 + g, 4 + 4 * g, 0, 1 + g, 2,
-             0.667, 0, length('def f' || id || '(p, q: int = 0) -> int:') + 1 + 16 * g + 13
+             0.667, 0, length('def f' || id || '(p, q: int = 0) -> int:') + 1 + 24 * g + 13
       FROM cnt)"""
 
+_CODE_TOKENS = """
+    tok AS (
+      SELECT {'path': path, 'lineno': 3} AS k,
+             ['def', 'm', '(', 'self', ',', 'a', ':', 'int', ',', 'b', ')', ':'] ||
+             flatten(list_transform(ls, lambda s: ['v' || md5(s)[1:8], '=', '0'] ||
+               CASE WHEN length(s) % 2 = 0 THEN ['if', 'x', ':', 'pass'] ELSE [] END)) || ['return', 'x', ''] AS t
+      FROM src
+      UNION ALL
+      SELECT {'path': fn.path, 'lineno': fn.lineno},
+             ['def', fn.name, '(', 'p', ',', 'q', ':', 'int', '=', '0', ')', '->', 'int', ':'] ||
+             flatten(list_transform(list_filter(ls, lambda s: length(s) > 40), lambda s: ['p', '=', 'p', 'and', 'v' || md5(s)[1:8]]))
+             || ['return', 'p', ''] AS t
+      FROM fn JOIN src USING (id) WHERE nodetype = 'function')"""
+
 _STATS = """min({0}) AS min, max({0}) AS max, round(avg({0}), 6) AS mean, round(quantile_cont({0}, 0.5), 6) AS median,
       round(quantile_cont({0}, 0.9), 6) AS p90"""
 
@@ -151,9 +165,12 @@ ORACLES = {
     "neardup_pages": f"""
     WITH {_tokens("pages", "page_id", "html")}, {_SKETCH}, {_BEST}
     SELECT k AS page_id, round(j, 6) AS score, other AS other_id FROM best""",
-    "neardup_turns": f"""
-    WITH {_tokens("conversations", "{'c': conv_id, 't': turn}", "text")}, {_SKETCH}, {_BEST}
-    SELECT k.c AS conv_id, k.t AS turn, round(j, 6) AS score, other.c AS other_conv, other.t AS other_turn FROM best""",
+    "neardup_merged": f"""
+    WITH corpus AS (
+      SELECT {{'kind': 'benchmark', 'id': item_id}} AS k, text FROM benchmark
+      UNION ALL SELECT {{'kind': 'document', 'id': doc_id}}, text FROM documents),
+    {_tokens("corpus", "k", "text")}, {_SKETCH}, {_BEST}
+    SELECT k.kind, k.id, round(j, 6) AS score, other.kind AS other_kind, other.id AS other_id FROM best""",
     "scan_dedup_ignore": f"""
     SELECT DISTINCT {_URL_PATH} AS path FROM pages
     WHERE {_URL_PATH} NOT IN ('/blog.tionsh.example.net/es/533', '/spam-farm.example.org', '/www.cheap-pills.example.com/en')
@@ -279,5 +296,9 @@ ORACLES = {
       UNION ALL SELECT path, x FROM leaf
       UNION ALL SELECT ancestor, x FROM leaf JOIN anc USING (path))
     SELECT n.node_id, n.parent_id, round(sum(x), 6) AS weight FROM nodes n JOIN w USING (node_id) GROUP BY 1, 2""",
+    "code_neardup": f"""
+    WITH {_CODE}, {_CODE_TOKENS}, {_SKETCH}, {_BEST}
+    SELECT k.path AS path, k.lineno AS lineno, round(j, 6) AS score, other.path AS other_path,
+           other.lineno AS other_lineno FROM best""",
     "report_roundtrip": f"WITH {_CODE}, {_CODE_NODES} SELECT * FROM nodes",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.metrics import METRIC_NAMES, round3, shown
+from tessera.functions.metrics import METRIC_NAMES, node_type_counts, round3, shown
 from tessera.functions.text import (
     has_marker,
     label_text,
@@ -131,12 +131,17 @@ def neardup_pages(spark, sf_dir):
     return best.select(F.col("key").alias("page_id"), _r6(F.col("score"), "score"), F.col("partner").alias("other_id"))
 
 
-def neardup_turns(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("turn_key"), "text")
-    best = best_by_sketch(build_index(token_units(turns, "turn_key", "text")))
+def neardup_merged(spark, sf_dir):
+    """Two tables as one corpus, with a two-part key."""
+    def part(kind: str, name: str, key: str) -> DataFrame:
+        unit = F.struct(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+        return token_units(table(spark, sf_dir, name).select(unit.alias("unit"), "text"), "unit", "text")
+
+    corpus = part("benchmark", "benchmark", "item_id").unionByName(part("document", "documents", "doc_id"))
+    best = best_by_sketch(build_index(corpus))
     return best.select(
-        "key.conv_id", "key.turn", _r6(F.col("score"), "score"), F.col("partner.conv_id").alias("other_conv"),
-        F.col("partner.turn").alias("other_turn"),
+        "key.kind", "key.id", _r6(F.col("score"), "score"), F.col("partner.kind").alias("other_kind"),
+        F.col("partner.id").alias("other_id"),
     )
 
 
@@ -335,8 +340,6 @@ def code_metrics(spark, sf_dir):
 
 
 def code_histogram(spark, sf_dir):
-    from tessera.functions.metrics import node_type_counts
-
     counts = node_type_counts(Report(_rendered(spark, sf_dir)).units)
     wanted = ["FunctionDef", "Assign", "If", "Return", "BoolOp", "Pass"]
     return counts.filter(F.col("node_type").isin(wanted)).groupBy("node_type").agg(F.sum("n").alias("n"))
@@ -360,6 +363,16 @@ def code_weights(spark, sf_dir):
     return _rounded(report.weights.select("node_id", "parent_id", "weight"), "weight")
 
 
+def code_neardup(spark, sf_dir):
+    """Each function's nearest copy by the sketch of its source tokens."""
+    functions = Report(_rendered(spark, sf_dir)).units.filter(F.col("nodetype") != "class")
+    best = best_by_sketch(build_index(functions.select("key", "tokens")))
+    return best.select(
+        "key.path", "key.lineno", _r6(F.col("score"), "score"), F.col("partner.path").alias("other_path"),
+        F.col("partner.lineno").alias("other_lineno"),
+    )
+
+
 def code_duplication(spark, sf_dir):
     """The full duplication pass on code: sketch gate, exact text ratio, best partner of each function."""
     matches = Report(_rendered(spark, sf_dir)).matches
@@ -382,10 +395,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         unit_lines_tokens, marker_counts, line_slice, qualified_names, shingle_sketch, neardup_pairs, neardup_best,
-        neardup_pages, neardup_turns, neardup_scored, scan_dedup_ignore, path_ancestors, dir_nodes, node_predicates,
+        neardup_pages, neardup_merged, neardup_scored, scan_dedup_ignore, path_ancestors, dir_nodes, node_predicates,
         prune_root, subtree_nodes, subtree_weight, sibling_rank, leaf_units, node_counts, summary_expressions,
         summary_lines, summary_generic, summary_lineitem, summary_dup_weighted, summary_ratio, summary_markers,
         group_summary, metric_unpivot, metric_selected, metric_scaled, unit_details, topk_units, code_units, code_files,
-        code_metrics, code_histogram, code_type_coverage, code_summary, code_weights, code_duplication, report_roundtrip,
+        code_metrics, code_histogram, code_type_coverage, code_summary, code_weights, code_neardup, code_duplication, report_roundtrip,
     )
 }
