@@ -21,7 +21,7 @@ from tessera.functions.text import MIN_JACCARD, name_or_fallback, sketch
 from tessera.operators.skew import lookup_join, paired_members
 from tessera.session import stage
 
-COLD_MAX = 1_000
+COLD_MAX = 256
 
 
 @dataclass(frozen=True)
@@ -122,26 +122,38 @@ def _jaccard(inter: Column, n_a: Column, n_b: Column) -> Column:
     return inter / (n_a + n_b - inter)
 
 
-def _sizes_fit(n_a: Column, n_b: Column) -> Column:
-    return F.least(n_a, n_b) >= _needed(F.greatest(n_a, n_b))
+def _enough(common: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether ``common`` hashes reach the gate: ``common / (n_a + n_b - common) >= 0.3`` in whole numbers."""
+    tenths = round(MIN_JACCARD * 10)
+    return common * (10 + tenths) >= (n_a + n_b) * tenths
+
+
+def _gated_overlap(shared_a: Column, shared_b: Column, n_a: Column, n_b: Column, first: Column) -> Column:
+    """Number of common hashes if ``first`` is the first of them and the pair passes the gate, else null.
+
+    The lambda only names the intersection, so that it is computed once.
+    """
+    common = F.array(F.array_intersect(shared_a, shared_b))
+    passes = lambda c: (c[0] == first) & _enough(F.size(c), n_a, n_b)
+    return F.transform(common, lambda c: F.when(passes(c), F.size(c)))[0]
 
 
 def cold_pairs(index: SketchIndex) -> DataFrame:
     """Gated pairs of distinct sketches that share a cold hash: ``a, b, n_a, n_b, inter, jaccard`` with ``a < b``.
 
-    A pair is kept only in the join group of its first common hash, so there is nothing to de-duplicate.
+    A pair is kept only in the join group of its first common hash, so there is nothing to de-duplicate; all it has in
+    common lies from there on, and two positions too far back are dropped before the sketches are compared.
     """
     prefix = F.slice("shared", F.lit(1), F.least("n_prefix", "n_cold"))
-    posts = index.ranked.select("sid", "n", "shared", F.explode(prefix).alias("h"))
-    a = posts.select("h", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
-    b = posts.select("h", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
-    met = a.join(b, "h").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("n_a"), F.col("n_b")))
-    common = met.select("h", "a", "b", "n_a", "n_b", F.array_intersect("s_a", "s_b").alias("common"))
-    inter = F.size("common")
-    jaccard = _jaccard(inter, F.col("n_a"), F.col("n_b"))
-    return common.filter((F.col("common")[0] == F.col("h")) & (jaccard >= MIN_JACCARD)).select(
-        "a", "b", "n_a", "n_b", inter.alias("inter"), jaccard.alias("jaccard")
-    )
+    posts = index.ranked.select("sid", "n", "shared", F.posexplode(prefix).alias("at", "h"))
+    left = F.size("shared") - F.col("at")
+    a = posts.select("h", F.col("sid").alias("a"), F.col("n").alias("n_a"), left.alias("left_a"), F.col("shared").alias("s_a"))
+    b = posts.select("h", F.col("sid").alias("b"), F.col("n").alias("n_b"), left.alias("left_b"), F.col("shared").alias("s_b"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    met = a.join(b, "h").filter((F.col("a") < F.col("b")) & _enough(F.least("left_a", "left_b"), n_a, n_b))
+    inter = _gated_overlap(F.col("s_a"), F.col("s_b"), n_a, n_b, F.col("h"))
+    pairs = met.select("a", "b", "n_a", "n_b", inter.alias("inter")).filter(F.col("inter").isNotNull())
+    return pairs.withColumn("jaccard", _jaccard(F.col("inter"), n_a, n_b))
 
 
 def hot_profiles(index: SketchIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -163,15 +175,16 @@ def hot_profiles(index: SketchIndex) -> tuple[DataFrame, DataFrame, DataFrame]:
         "profiles",
     )
     prefix = F.slice("hot", F.lit(1), F.size("hot") - _needed(F.col("n")) + 1)
-    posts = profiles.select("pid", "n", "hot", F.explode(prefix).alias("h"))
+    posts = profiles.select("pid", "n", "hot", F.posexplode(prefix).alias("at", "h"))
+    posts = posts.withColumn("left", F.size("hot") - F.col("at"))
     same_hash = posts.select(F.col("h").alias("ga"), F.col("h").alias("gb")).distinct()
-    met = paired_members(same_hash, posts, "h", "pid").filter(_sizes_fit(F.col("a.n"), F.col("b.n")))
-    common = F.array_intersect("a.hot", "b.hot")
-    across = met.filter(common[0] == F.col("ga")).select(
-        F.col("a.pid").alias("ga"),
-        F.col("b.pid").alias("gb"),
-        F.size(common).alias("inter"),
-        _jaccard(F.size(common), F.col("a.n"), F.col("b.n")).alias("jaccard"),
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    met = paired_members(same_hash, posts, "h", "pid").filter(_enough(F.least("a.left", "b.left"), n_a, n_b))
+    inter = _gated_overlap(F.col("a.hot"), F.col("b.hot"), n_a, n_b, F.col("ga"))
+    across = (
+        met.select("a", "b", inter.alias("inter"))
+        .filter(F.col("inter").isNotNull())
+        .select(F.col("a.pid").alias("ga"), F.col("b.pid").alias("gb"), "inter", _jaccard(F.col("inter"), n_a, n_b).alias("jaccard"))
     )
     within = profiles.filter(F.col("sketches") > 1).select(
         F.col("pid").alias("ga"),
