@@ -227,7 +227,7 @@ def sketch_pairs(index: SketchIndex) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "inter", uni.alias("uni"), "jaccard")
 
 
-def _best(candidates: DataFrame, unit: str) -> DataFrame:
+def best_partner(candidates: DataFrame, unit: str) -> DataFrame:
     """Argmax per unit with the tie rule: highest score, then smallest partner. Combines map-side."""
     best = F.min(F.struct((-F.col("score")).alias("worse"), F.col("partner")))
     return candidates.groupBy(unit).agg(best.alias("best")).select(
@@ -253,7 +253,7 @@ def best_by_sketch(index: SketchIndex) -> DataFrame:
     )
     if not index.profiles.isEmpty():
         candidates = candidates.unionByName(_best_hot(index))
-    single = _best(candidates.join(alone, "key", "left_semi"), "key")
+    single = best_partner(candidates.join(alone, "key", "left_semi"), "key")
     return smallest.unionByName(first).unionByName(single)
 
 
@@ -269,7 +269,7 @@ def _best_hot(index: SketchIndex) -> DataFrame:
     toward = across.select(F.col("ga").alias("pid"), F.col("jaccard").alias("score"), F.col("gb").alias("partner")).unionByName(
         across.select(F.col("gb").alias("pid"), F.col("jaccard").alias("score"), F.col("ga").alias("partner"))
     )
-    other = _best(toward, "pid").select("pid", F.struct("score", "partner").alias("other"))
+    other = best_partner(toward, "pid").select("pid", F.struct("score", "partner").alias("other"))
     own = pairs.filter(F.col("ga") == F.col("gb")).select(F.col("ga").alias("pid"), F.col("jaccard").alias("own"))
     per_profile = stage(firsts.join(other, "pid", "left").join(own, "pid", "left"), "profile-best")
     rows = lookup_join(members, per_profile, ["pid"], "sketches", "sid")
