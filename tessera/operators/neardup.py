@@ -86,8 +86,9 @@ def build_index(units: DataFrame) -> SketchIndex:
     usable = sketched.filter(F.col("n") > 0)
     members, seconds = fold_copies(usable, "digest")
     reps = members.filter(F.col("key") == F.col("rep")).select("key")
-    distinct = usable.join(reps, "key", "left_semi")
-    postings = distinct.select(F.col("key").alias("sid"), "n", F.explode("fp").alias("h"))
+    distinct = stage(usable.join(reps, "key", "left_semi").select("key", "n", "fp"), "distinct")
+    postings = distinct.select(F.col("key").alias("sid"), "n", F.explode("fp").alias("hex"))
+    postings = postings.select("sid", "n", F.unhex("hex").alias("h"))  # half the bytes to shuffle
     # A staged id per shared hash: 8 bytes in every later shuffle instead of 32, with no chance of a collision.
     frequency = stage(
         postings.groupBy("h")
