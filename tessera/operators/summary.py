@@ -29,6 +29,11 @@ def _quantiles(x: Column) -> list[Column]:
     return [both[0].alias("median"), both[1].alias("p90")]
 
 
+def _share(part: Column) -> Column:
+    """Share of all rows; null where there are none."""
+    return part / F.nullif(F.count(F.lit(1)), F.lit(0))
+
+
 def _summary(leaves: DataFrame, by: Sequence[str], *columns: Column) -> DataFrame:
     return leaves.groupBy(*by).agg(*columns) if by else leaves.agg(*columns)
 
@@ -69,7 +74,7 @@ def coverage_summary(leaves: DataFrame, by: Sequence[str] = (), column: str = "t
     full = F.count_if(x == 1)
     stats = _summary(
         present, by, F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), *_quantiles(x), full.alias("full"),
-        (full / F.count(F.lit(1))).alias("full_share"),
+        _share(full).alias("full_share"),
     )
     return stats.filter(F.col("n") > 0)
 
@@ -78,7 +83,7 @@ def marker_summary(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     x = _zero("todo_comments")
     marked = F.count_if(x > 0)
     return _summary(
-        leaves, by, F.sum(x).alias("total"), marked.alias("marked"), (marked / F.count(F.lit(1))).alias("marked_share"),
+        leaves, by, F.sum(x).alias("total"), marked.alias("marked"), _share(marked).alias("marked_share"),
         F.max(x).alias("max"),
     )
 

@@ -44,9 +44,10 @@ def spread(scan: DataFrame) -> DataFrame:
     """Spread a small scan over all cores before per-row heavy work.
 
     A big input has many splits per core and is left alone; only an input with few splits (or a file with one
-    row group) is worth the exchange. Pass a plain scan with just the needed columns.
+    row group) is worth the exchange. Pass a plain scan with just the needed columns, the key first: rows go by its
+    hash, which a retried task repeats exactly and which needs no sort of the rows.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= 4 * cores:
         return scan
-    return scan.repartition(cores)
+    return scan.repartition(cores, scan.columns[0])

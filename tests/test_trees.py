@@ -75,7 +75,12 @@ def test_missing_values(spark):
     assert (dup["mean"], dup["duplicated_lines"], dup["share"]) == (0.25, 2.0, 0.2)
     cover = summary.coverage_summary(leaves).first()
     assert (cover["n"], cover["mean"], cover["full_share"]) == (1, 1.0, 1.0)
-    assert summary.coverage_summary(leaves.filter("type_coverage is null")).isEmpty()
+    assert summary.coverage_summary(leaves.filter("type_coverage is null")).collect() == []
+    nothing = leaves.filter("lines < 0")
+    assert summary.marker_summary(nothing).first()["marked_share"] is None
+    assert summary.duplication_summary(nothing).first()["share"] == 0.0
+    assert tuple(summary.expression_summary(nothing.withColumn("expressions", F.lit(1))).first()) == (0, 0.0)
+    assert {r["scaled"] for r in summary.scaled(leaves, "lines").collect()} == {0.0, 1.0}
     marks = summary.marker_summary(leaves).first()
     assert (marks["total"], marks["marked"], marks["marked_share"], marks["max"]) == (2, 1, 0.5, 2)
     assert summary.duplication_summary(leaves.withColumn("lines", F.lit(0))).first()["share"] == 0.0
