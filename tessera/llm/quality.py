@@ -24,7 +24,7 @@ LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 #: About so many labelled documents of each class are learned from, half for the dictionaries, half for the curve;
 #: documents of more bytes than FIT_LONGEST are not used for learning.
-FIT_DOCS = 2000
+FIT_DOCS = 3000
 FIT_LONGEST = 20_000
 
 
@@ -50,9 +50,12 @@ def sizes(text: memoryview, compressors: list[zstandard.ZstdCompressor]) -> tupl
 
 
 def features(found: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Columns: one, the normalised difference (above 0: the good dictionary is the better one), and it by log size."""
-    difference = (found[:, 1] - found[:, 0]) / np.maximum(found.sum(1), 1)
-    return np.stack([np.ones(len(found)), 10 * difference, difference * np.log1p(lengths)], 1)
+    """Columns: one, the normalised difference (above 0: the good dictionary is the better one), it by log size, and
+    how far the text compresses at all, as endless repetition does under either dictionary."""
+    both = np.maximum(found.sum(1), 1)
+    difference = (found[:, 1] - found[:, 0]) / both
+    shrunk = np.minimum(0.0, np.log(both / np.maximum(2 * lengths, 1)) + 1.2)
+    return np.stack([np.ones(len(found)), 10 * difference, difference * np.log1p(lengths), shrunk], 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -77,12 +80,12 @@ def train(good: list[bytes], bad: list[bytes], share_good: float) -> Compression
             return b"".join(pieces)[-DICTIONARY_BYTES:] or b"\n" * 8
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
 
-    model = CompressionModel(dictionary(good[::2]), dictionary(bad[::2]), (0.0, 0.0, 0.0))
+    model = CompressionModel(dictionary(good[::2]), dictionary(bad[::2]), (0.0, 0.0, 0.0, 0.0))
     rest = [(t, 1.0) for t in good[1::2]] + [(t, 0.0) for t in bad[1::2]]
     y = np.array([label for _, label in rest])
     if not len(y) or y.min() == y.max():
         even = np.clip(share_good, 0.01, 0.99)
-        return CompressionModel(model.good, model.bad, (float(np.log(even / (1 - even))), 0.0, 0.0))
+        return CompressionModel(model.good, model.bad, (float(np.log(even / (1 - even))), 0.0, 0.0, 0.0))
     both = model.compressors()
     x = features(np.array([sizes(memoryview(t), both) for t, _ in rest], float), np.array([len(t) for t, _ in rest], float))
     weight = np.where(y == 1, share_good / y.mean(), (1 - share_good) / (1 - y.mean()))

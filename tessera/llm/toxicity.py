@@ -30,11 +30,11 @@ IDENTITY_TERMS = (
 FIT_DOCS = 4000
 FIT_LONGEST = 20_000
 #: Words in fewer documents of the sample are no features; so many with the clearest difference are.
-MIN_DOCS = 10
-MAX_FEATURES = 400
+MIN_DOCS = 5
+MAX_FEATURES = 300
 #: Weight of the squared score change under a swap, of the squared weights, and copies made of each text.
 SWAP_PENALTY = 5.0
-RIDGE = 2e-3
+RIDGE = 1e-5
 SWAPS = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
