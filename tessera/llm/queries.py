@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import archive, language, line_runs, mixing, quality, toxicity
+from tessera.llm import archive, divergence, language, line_runs, minhash, mixing, pieces, quality, tiles, toxicity
 from tessera.llm.common import fold_of, read
 
 #: A score from here on predicts label 1.
 LEAST_SCORE = 0.3
 
 
-def _held(parts: int, rest: int) -> Column:
+def held_out(parts: int, rest: int) -> Column:
     """Rows kept from learning; a null key is never learned from."""
     return F.coalesce(fold_of("doc_id", parts) == rest, F.lit(True))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    trees = language.fit_trees(docs, ~_held(5, 0))
-    return language.identify(docs, trees).select("doc_id", _held(5, 0).alias("held_out"), "lang_pred", "score")
+    trees = language.fit_trees(docs, ~held_out(5, 0))
+    return language.identify(docs, trees).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def _predicted(scored: DataFrame, parts: int, rest: int) -> DataFrame:
     predicted = (F.col("score") >= LEAST_SCORE).cast("int")
-    return scored.select("doc_id", _held(parts, rest).alias("held_out"), "score", predicted.alias("predicted"))
+    return scored.select("doc_id", held_out(parts, rest).alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = quality.fit(docs, read(spark, sf_dir, "labels"), ~_held(5, 0))
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), ~held_out(5, 0))
     return _predicted(quality.score(docs, model), 5, 0)
 
 
@@ -42,12 +42,28 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~_held(4, 2))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out(4, 2))
     return _predicted(toxicity.score(docs, model), 4, 2)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), pieces.load())
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -62,5 +78,6 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_quality, op3_line_dedup, op7_toxicity, op9_mix_sources, op10_warc_archive,
+    op1_language_id, op2_quality, op3_line_dedup, op4_minhash_dedup, op5_embedding_dedup, op6_quality_rules,
+    op7_toxicity, op8_sentencepiece, op9_mix_sources, op10_warc_archive,
 )}
