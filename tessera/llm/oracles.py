@@ -9,7 +9,7 @@ _BLANK = r"[\x20\x09-\x0D]+"
 
 
 def _words(text: str) -> str:
-    return f"list_filter(string_split_regex({text}, '{_BLANK}'), x -> x <> '')"
+    return f"list_filter(string_split_regex({text}, '{_BLANK}'), lambda x: x <> '')"
 
 
 def _ascii_lower(text: str) -> str:
@@ -33,8 +33,8 @@ FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id
 ORACLES["op4_minhash_dedup"] = rf"""
 WITH RECURSIVE words AS (SELECT doc_id, {_words(_ascii_lower("coalesce(text, '')"))} AS w FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_reduce(w, (x, y) -> x || ' ' || y)]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_reduce(w, lambda x, y: x || ' ' || y)]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
   FROM words),
 posts AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 links AS (
@@ -48,8 +48,8 @@ FROM sets JOIN (SELECT node AS doc_id, min(r) AS component_id FROM reach GROUP B
 ORACLES["op5_embedding_dedup"] = """
 WITH RECURSIVE good AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.93),
@@ -80,11 +80,11 @@ ORACLES["op6_quality_rules"] = rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, {_words("coalesce(text, '')")} AS w,
          {_words(_ascii_lower("coalesce(text, '')"))} AS lw,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 windows AS (
   SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
-         unnest(list_transform(range(1, len(w) - 1), i -> [w[i], w[i + 1], w[i + 2]])) AS x FROM base WHERE len(w) >= 3),
+         unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS x FROM base WHERE len(w) >= 3),
 twice AS (SELECT doc_id, x FROM windows GROUP BY doc_id, x HAVING count(*) > 1),
 covered AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM windows JOIN twice USING (doc_id, x)),
 repeated AS (SELECT doc_id, count(DISTINCT i) AS n FROM covered GROUP BY doc_id),
