@@ -218,6 +218,27 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return streams.mapInArrow(linked, "a long, b long")
 
 
+def _alone(texts: DataFrame, k: int) -> DataFrame:
+    """``rep, alone``: how many of a text's shingles no other one of these texts has, for those that have any.
+
+    Equal hashes of different shingles only make the count smaller, and so the bound drawn from it weaker.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(k)
+        for batch in slices(batches, "text", 1 << 20):
+            found = [signer.hashes(value.as_py()) for value in batch.column(1)]
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            values = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column(0).to_numpy(), count)), pa.array(values.view(np.int64))], ["rep", "h"]
+            )
+
+    posted = texts.select("rep", "text").mapInArrow(hashed, "rep long, h long")
+    single = posted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter(F.col("n") == 1)
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``<key>, n_shingles, component_id, kept`` of each row of ``docs``.
 
@@ -227,10 +248,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     further. Other columns are not read. Keys are whole numbers; rows that repeat a key are one document with the
     smallest of them, a null key links with nothing and has a null component.
 
-    First each class is compared with the smallest class that it meets most often: one comparison each, which joins
-    large groups. Then pairs that meet in a table and are still apart are compared, each at the first table they share;
-    crowded tables are split into blocks. Sizes and bin counts rule out pairs that cannot be linked before any text is
-    fetched, so texts move only for classes with a likely partner.
+    First each class is compared with one other: of the classes it meets, that which meets most others. This joins
+    large groups of near-copies around their least edited member. Then pairs that meet in a table and are still apart
+    are compared, each at the first table they share; crowded tables are split into blocks. Shingles that a class shares
+    with no other class left, sizes and bin counts rule out pairs that cannot be linked; these bounds lose no link.
     """
     signed = stage(sign(docs, k, key, text), "signatures")
     # Rows with equal digests have equal keys and bins, so any of them serves; the smallest (id, t) names a text.
@@ -245,26 +266,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         "classes",
     )
     tables = stage(_table_keys(classes), "tables")
-    met = stage(
-        tables.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "met"
-    )
+    met = stage(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "met")
     meeting = stage(lookup_join(tables, met, ["key"], "n", "rep"), "meeting")
+    # The member that meets most others is the least edited one of a group of near-copies: its natural centre.
+    popular = meeting.groupBy("rep").agg(F.sum("n").alias("meets"))
+    centres = stage(
+        meeting.join(popular, "rep").groupBy("key")
+        .agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("top"), F.first("n").alias("n")),
+        "centres",
+    )
     wanted = meeting.select("rep").distinct().join(classes.select("rep", "t"), "rep")
     texts = stage(
         docs.select(F.col(key).cast("long").alias("rep"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
         .join(wanted, ["rep", "t"]).dropDuplicates(["rep"]).select("rep", "text"),
         "candidate-texts",
     )
-    often = (
-        meeting.filter(F.col("rep") != F.col("least")).groupBy("rep", "least").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("rep").agg(F.min_by("least", F.struct(-F.col("n"), F.col("least"))).alias("least"))
+    chosen = (
+        lookup_join(meeting.select("key", "rep"), centres, ["key"], "n", "rep")
+        .groupBy("rep").agg((-F.max("top")["minus"]).alias("centre")).filter(F.col("centre") != F.col("rep"))
     )
-    first = _bounded(often.select(F.col("least").alias("a"), F.col("rep").alias("b")), classes, percent)
+    first = _bounded(stage(chosen.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "first-pairs"), classes, percent)
     linked = stage(_confirmed(first, texts, k, percent), "first-links")
     group = stage(components(linked), "first-groups")
 
     # Tables whose members are not all in one component yet.
-    placed = meeting.join(group, meeting["rep"] == group["node"], "left").select(
+    placed = meeting.drop("n").join(group, meeting["rep"] == group["node"], "left").select(
         "key", "i", "j", "rep", F.coalesce("component", "rep").alias("component")
     )
     placed = stage(placed, "placed")
@@ -273,16 +299,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         .filter(F.col("c0") != F.col("c1")).select("key", "n"),
         "mixed",
     )
-    sides = classes.select("rep", F.col("n").alias("size"), "left", "right")
-    member = stage(lookup_join(placed, mixed, ["key"], "n", "rep").join(sides, "rep"), "mixed-members")
+    apart_yet = stage(lookup_join(placed, mixed, ["key"], "n", "rep"), "apart")
+    alone = _alone(texts.join(apart_yet.select("rep").distinct(), "rep"), k)
+    sides = (
+        classes.select("rep", F.col("n").alias("size"), "left", "right").join(alone, "rep", "left")
+        .withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+        .filter(100 * F.col("common") >= percent * F.col("size"))
+    )
+    member = stage(apart_yet.join(sides, "rep"), "mixed-members")
     blocks = F.ceil(F.col("n") / SHARE).cast("int")
     own = member.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     every = member.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     a, b = own.alias("a"), every.alias("b")
     first_shared = lambda side: F.array_position(F.zip_with(f"a.{side}", f"b.{side}", lambda x, y: x == y), True) - 1
+    shared = F.least("a.common", "b.common")  # no two sets share more than this
     apart = (
         (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep"))
-        & (F.col("a.component") != F.col("b.component")) & _possible(F.col("a.size"), F.col("b.size"), percent)
+        & (F.col("a.component") != F.col("b.component"))
+        & (100 * shared >= percent * (F.col("a.size") + F.col("b.size") - shared))
         & (first_shared("left") == F.col("a.i")) & (first_shared("right") == F.col("a.j"))
     )
     second = a.join(b, apart).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
