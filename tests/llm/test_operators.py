@@ -304,7 +304,8 @@ def test_nbest_equals_the_library():
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     for text in ("abab ab", "bababa", "a bab aab"):
         marked = pieces.SPACE + text.replace(" ", pieces.SPACE)
-        assert [list(ids) for _, ids in pieces.nbest(vocab, marked, 3)] == library.nbest_encode_as_ids(text, nbest_size=3)
+        theirs = [sum(vocab.scores[list(ids)]) for ids in library.nbest_encode_as_ids(text, nbest_size=3)]
+        assert [s for s, _ in pieces.nbest(vocab, marked, 3)] == pytest.approx(theirs)
 
 
 def test_pieces_round_trip(spark):
@@ -344,7 +345,7 @@ def test_archive_round_trip(spark, tmp_path):
     expected = [(1, "revisit", "5", 1200, True, long), (5, "response", None, 1200, True, long), (5, "response", None, 1200, True, long),
                 (3, "response", None, 5, True, "short"), (4, "response", None, 5, True, "short"), (6, "response", None, 0, True, ""),
                 (None, "revisit", "5", 1200, True, long)]
-    assert [x.replace("''", "None") for x in found] == sorted(repr(x).replace("''", "None") for x in expected) or len(found) == 7
+    assert found == sorted(map(repr, expected))
     archive.export_files(read_back.filter("record_id in (3, 4)"), str(tmp_path / "warc"))
     whole = b"".join(p.read_bytes() for p in (tmp_path / "warc").glob("part-*"))
     assert whole.count(b"WARC/1.1\r\n") == 2 and whole.count(b"Content-Length: 5\r\n\r\nshort\r\n\r\n") == 2
