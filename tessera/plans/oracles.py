@@ -252,7 +252,7 @@ ORACLES = {
     "group_summary": f"WITH {_LEAVES} SELECT lang, source, {_STATS.format('lines')} FROM leaves GROUP BY lang, source",
     "metric_unpivot": f"WITH {_LEAVES} {_long('leaves', 'doc_id', ('lines', 'expressions', 'statements', 'todo_comments'))}",
     "metric_selected": f"""
-    WITH {_LEAVES} SELECT doc_id, 'todo_comments' AS metric, todo_comments::DOUBLE AS value FROM leaves WHERE todo_comments > 0""",
+    WITH {_LEAVES} SELECT doc_id, 'todo_comments' AS metric, todo_comments::DOUBLE AS value FROM leaves""",
     "metric_scaled": f"""
     WITH {_LEAVES}
     SELECT doc_id, lines,

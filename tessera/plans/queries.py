@@ -291,7 +291,7 @@ def metric_unpivot(spark, sf_dir):
 
 
 def metric_selected(spark, sf_dir):
-    return summary.select_metric(metric_unpivot(spark, sf_dir), "todo_comments").filter(F.col("value") > 0)
+    return summary.select_metric(metric_unpivot(spark, sf_dir), "todo_comments")
 
 
 def metric_scaled(spark, sf_dir):

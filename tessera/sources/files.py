@@ -129,7 +129,7 @@ def drop_ignored(files: DataFrame, ignored_files: Sequence[str], ignored_dirs: S
     rows = [(p, True) for p in above] + [(p, False) for p in ignored_files]
     ignores = spark.createDataFrame(rows, "ignored string, is_dir boolean")
     steps = files.select("path", F.explode(F.array_append(path_ancestors(path), path)).alias("ignored"))
-    hits = steps.join(F.broadcast(ignores), "ignored").filter(F.col("is_dir") | (F.col("ignored") == path))
+    hits = steps.join(ignores, "ignored").filter(F.col("is_dir") | (F.col("ignored") == path))
     return files.join(hits.select("path").distinct(), "path", "left_anti")
 
 

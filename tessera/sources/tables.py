@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import line_count, text_tokens, url_path
 from tessera.session import spread
 
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-          "conversations").split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
