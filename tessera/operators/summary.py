@@ -24,9 +24,14 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
+def _or_zero(x: Column) -> Column:
+    """Summaries of no rows at all are 0, not null."""
+    return F.coalesce(x, F.lit(0))
+
+
 def _quantiles(x: Column) -> list[Column]:
     both = F.percentile(x, F.array(*[F.lit(q) for q in QUANTILES]))
-    return [both[0].alias("median"), both[1].alias("p90")]
+    return [_or_zero(both[0]).alias("median"), _or_zero(both[1]).alias("p90")]
 
 
 def _share(part: Column) -> Column:
@@ -54,7 +59,8 @@ def expression_summary(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def line_summary(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     x = _zero("lines")
-    return _summary(leaves, by, F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), *_quantiles(x))
+    ends = [_or_zero(F.min(x)).alias("min"), _or_zero(F.max(x)).alias("max"), _or_zero(F.avg(x)).alias("mean")]
+    return _summary(leaves, by, *ends, *_quantiles(x))
 
 
 def duplication_summary(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -62,7 +68,7 @@ def duplication_summary(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     x, n = _zero("duplication"), _zero("lines")
     duplicated = F.sum(n * x)
     return _summary(
-        leaves, by, F.avg(x).alias("mean"), *_quantiles(x), duplicated.alias("duplicated_lines"),
+        leaves, by, _or_zero(F.avg(x)).alias("mean"), *_quantiles(x), _or_zero(duplicated).alias("duplicated_lines"),
         F.coalesce(duplicated / F.nullif(F.sum(n), F.lit(0)), F.lit(0.0)).alias("share"),
     )
 
@@ -83,8 +89,8 @@ def marker_summary(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     x = _zero("todo_comments")
     marked = F.count_if(x > 0)
     return _summary(
-        leaves, by, F.sum(x).alias("total"), marked.alias("marked"), _share(marked).alias("marked_share"),
-        F.max(x).alias("max"),
+        leaves, by, _or_zero(F.sum(x)).alias("total"), marked.alias("marked"), _share(marked).alias("marked_share"),
+        _or_zero(F.max(x)).alias("max"),
     )
 
 

@@ -27,6 +27,7 @@ SUFFIX = ".py"
 LISTED = "path string, is_dir boolean, linked boolean, size bigint"
 READ_BYTES = 64 << 20
 _FLUSH_BYTES = 8 << 20
+_FLUSH_ROWS = 10_000
 _LITERAL_IGNORES = 100
 
 
@@ -41,9 +42,22 @@ class Scan:
         return read_files(self.found)
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and its own path of a URI or an absolute path."""
-    return fs.FileSystem.from_uri(path)
+def _open(path: str, opened: dict) -> tuple[fs.FileSystem, str]:
+    """File system and its own path of a URI or an absolute path.
+
+    ``opened`` keeps one client per scheme and authority, with what it puts before the rest of a path.
+    """
+    scheme, mark, rest = path.partition("://")
+    host, slash, tail = rest.partition("/") if mark else ("", "", path)
+    key, tail = (scheme if mark else "", host), slash + tail
+    plain = not mark or not set("%?#") & set(tail)
+    if plain and key in opened:
+        system, before = opened[key]
+        return system, before + tail
+    system, inner = fs.FileSystem.from_uri(path)
+    if plain and inner.endswith(tail):
+        opened[key] = system, inner.removesuffix(tail)
+    return system, inner
 
 
 def _canonical(path: str) -> str:
@@ -55,10 +69,13 @@ def _canonical(path: str) -> str:
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Children of each folder: sub-folders that are no links, and source files under their resolved path."""
+    kinds = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("linked", pa.bool_()), ("size", pa.int64())])
+    fresh = lambda: {name: [] for name in kinds.names}
+    opened = {}
     for batch in batches:
-        rows = {"path": [], "is_dir": [], "linked": [], "size": []}
+        rows = fresh()
         for folder in batch.column(0).to_pylist():
-            system, inner = _open(folder)
+            system, inner = _open(folder, opened)
             base = folder.rstrip("/")
             for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
                 path = f"{base}/{info.base_name}"
@@ -71,23 +88,29 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     continue
                 for name, value in zip(rows, (real, is_dir, linked, info.size or 0)):
                     rows[name].append(value)
-        yield pa.RecordBatch.from_pydict(
-            rows, pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("linked", pa.bool_()), ("size", pa.int64())])
-        )
+            if len(rows["path"]) >= _FLUSH_ROWS:
+                yield pa.RecordBatch.from_pydict(rows, kinds)
+                rows = fresh()
+        yield pa.RecordBatch.from_pydict(rows, kinds)
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents of the paths; null for a file that cannot be read, which extraction turns into an error row."""
     def pack(paths, contents):
         return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "raw"])
 
+    opened = {}
     paths, contents, held = [], [], 0
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            system, inner = _open(path)
-            with system.open_input_stream(inner) as stream:
-                contents.append(stream.read())
+            try:
+                system, inner = _open(path, opened)
+                with system.open_input_stream(inner) as stream:
+                    contents.append(stream.read())
+            except OSError:
+                contents.append(None)
             paths.append(path)
-            held += len(contents[-1])
+            held += len(contents[-1] or b"")
             if held > _FLUSH_BYTES:
                 yield pack(paths, contents)
                 paths, contents, held = [], [], 0
@@ -163,7 +186,7 @@ def scan_corpus(spark: SparkSession, paths: Sequence[str], ignore: Sequence[str]
         if kind == fs.FileType.Directory:
             folders.append(path)
         elif kind == fs.FileType.File and path.endswith(SUFFIX):
-            system, inner = _open(path)
+            system, inner = _open(path, {})
             singles.append((path, False, False, system.get_file_info(inner).size or 0))
         elif path not in ignored_files and not any(path == d or path.startswith(f"{d}/") for d in ignored_dirs):
             problems.append((path, "scan", "neither a folder nor a source file"))
@@ -180,7 +203,7 @@ def scan_corpus(spark: SparkSession, paths: Sequence[str], ignore: Sequence[str]
 
 
 def _kind(path: str) -> fs.FileType:
-    system, inner = _open(path)
+    system, inner = _open(path, {})
     return system.get_file_info(inner).type
 
 

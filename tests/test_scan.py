@@ -78,3 +78,21 @@ def test_analysis_end_to_end(spark, tmp_path):
     assert leaves["Empty"]["lines"] is None and leaves["m"]["lines"] == 5
     assert {r["name"] for r in report.leaves(functions_only=True).collect()} == {"f", "g", "m", "n", "h", "one", "two"}
     assert {r["display_name"] for r in report.display_names.collect()} >= {"A.m", "A.n", "f", "f1.py"}
+
+
+def test_unreadable_file_is_an_error_row(spark, tree):
+    scan = scan_corpus(spark, [str(tree / "gen")])
+    (tree / "gen/d.py").unlink()
+    report = tessera.plans.analysis.Report(scan.files())
+    assert [(os.path.basename(r["path"]), r["stage"]) for r in report.errors.collect()] == [("d.py", "read")]
+    with pytest.raises(Exception, match="d.py"):
+        tessera.plans.analysis.Report(scan.files(), mode="FAILFAST").units.collect()
+
+
+def test_one_client_per_store():
+    opened = {}
+    assert source_files._open("/a/b%20c.py", opened)[1] == "/a/b%20c.py"
+    assert source_files._open("/a/d.py", opened)[1] == "/a/d.py"
+    assert source_files._open("file:///a/b%20c.py", opened)[1] == "/a/b c.py"
+    assert source_files._open("file:///a/d.py", opened)[1] == source_files._open("file:///a/d.py", opened)[1] == "/a/d.py"
+    assert len(opened) == 2
