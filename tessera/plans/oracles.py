@@ -281,7 +281,20 @@ ORACLES = {
     UNION ALL SELECT 'Assign', sum(l + g)::BIGINT FROM cnt
     UNION ALL SELECT 'If', sum(e)::BIGINT FROM cnt
     UNION ALL SELECT 'Pass', sum(e)::BIGINT FROM cnt
-    UNION ALL SELECT 'BoolOp', sum(g)::BIGINT FROM cnt""",
+    UNION ALL SELECT 'BoolOp', sum(g)::BIGINT FROM cnt
+    UNION ALL SELECT 'And', sum(g)::BIGINT FROM cnt
+    UNION ALL SELECT 'arguments', 2 * count(*) FROM cnt
+    UNION ALL SELECT 'arg', 5 * count(*) FROM cnt
+    UNION ALL SELECT 'Constant', sum(l + 1)::BIGINT FROM cnt
+    UNION ALL SELECT 'Name', sum(5 + l + e + 3 * g)::BIGINT FROM cnt
+    UNION ALL SELECT 'Store', sum(l + g)::BIGINT FROM cnt
+    UNION ALL SELECT 'Load', sum(5 + e + 2 * g)::BIGINT FROM cnt""",
+    "bad_files": f"""
+    WITH {_CODE}
+    SELECT path, CASE WHEN id % 7 = 0 THEN 'parse' ELSE 'encode' END AS stage FROM cnt WHERE id % 7 IN (0, 1)""",
+    "text_ratio": """
+    SELECT doc_id, round(2.0 * n / (2 * n + 1), 6)::DOUBLE AS ratio
+    FROM (SELECT doc_id, length(coalesce(text, ''))::DOUBLE AS n FROM documents)""",
     "code_type_coverage": f"""
     WITH {_CODE}, v AS (SELECT type_coverage::DOUBLE AS x FROM fn)
     SELECT count(*) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median,

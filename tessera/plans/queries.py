@@ -20,7 +20,7 @@ from tessera.functions.text import (
 from tessera.operators import hierarchy, summary
 from tessera.operators.extract import render_corpus
 from tessera.operators.neardup import attach_matches, best_by_sketch, build_index, sketch_pairs, sketch_units
-from tessera.operators.scoring import best_by_text
+from tessera.operators.scoring import best_by_text, score_pairs
 from tessera.plans.analysis import Report
 from tessera.session import spread, stage, stage_path
 from tessera.sources.files import drop_ignored, merge_inputs
@@ -341,8 +341,27 @@ def code_metrics(spark, sf_dir):
 
 def code_histogram(spark, sf_dir):
     counts = node_type_counts(Report(_rendered(spark, sf_dir)).units)
-    wanted = ["FunctionDef", "Assign", "If", "Return", "BoolOp", "Pass"]
-    return counts.filter(F.col("node_type").isin(wanted)).groupBy("node_type").agg(F.sum("n").alias("n"))
+    return counts.filter(~F.startswith("node_type", F.lit("#"))).groupBy("node_type").agg(F.sum("n").alias("n"))
+
+
+def bad_files(spark, sf_dir):
+    """Errors of the rendered files when one in seven does not parse and one has a docstring that is no valid text."""
+    kind = F.regexp_extract("path", r"doc_(\d+)\.py$", 1).cast("long") % 7
+    spoilt = F.when(kind == 0, F.lit("def broken(:\n")).when(kind == 1, F.lit('def odd():\n    "\\ud800"\n')).otherwise(F.lit(""))
+    files = _rendered(spark, sf_dir).select("path", F.concat(spoilt, "content").alias("content"))
+    return Report(files).errors.select("path", "stage")
+
+
+def text_ratio(spark, sf_dir):
+    """Exact ratio of each whole text and a copy with one more character: the longest block is the text itself."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("source"))
+    own = docs.select((2 * F.col("doc_id")).alias("text_id"), "source")
+    longer = docs.select((2 * F.col("doc_id") + 1).alias("text_id"), F.concat("source", F.lit("\x01")).alias("source"))
+    pairs = docs.select(
+        (2 * F.col("doc_id")).alias("ta"), (2 * F.col("doc_id") + 1).alias("tb"), F.col("doc_id").alias("a"),
+        F.col("doc_id").alias("b"), F.lit(True).alias("forward"), F.lit(False).alias("backward"),
+    )
+    return score_pairs(pairs, own.unionByName(longer)).select(F.col("a").alias("doc_id"), _r6(F.col("r_forward"), "ratio"))
 
 
 def _code_leaves(spark, sf_dir) -> DataFrame:
@@ -399,6 +418,6 @@ QUERIES = {
         prune_root, subtree_nodes, subtree_weight, sibling_rank, leaf_units, node_counts, summary_expressions,
         summary_lines, summary_generic, summary_lineitem, summary_dup_weighted, summary_ratio, summary_markers,
         group_summary, metric_unpivot, metric_selected, metric_scaled, unit_details, topk_units, code_units, code_files,
-        code_metrics, code_histogram, code_type_coverage, code_summary, code_weights, code_neardup, code_duplication, report_roundtrip,
+        code_metrics, code_histogram, bad_files, text_ratio, code_type_coverage, code_summary, code_weights, code_neardup, code_duplication, report_roundtrip,
     )
 }

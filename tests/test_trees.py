@@ -130,3 +130,10 @@ def test_broken_report_lines_are_errors(spark, tmp_path):
     (tmp_path / "part-0.txt").write_text('{"name":"a.py","nodetype":"file","path":"/a.py","children":[]}\n{"name":\n')
     nodes, errors = read_report(spark, str(tmp_path))
     assert (nodes.count(), errors.count()) == (1, 1)
+
+
+def test_summaries_of_nothing_are_zero(spark):
+    none = spark.createDataFrame([], "lines int, duplication double, todo_comments int")
+    assert set(summary.line_summary(none).first()) == {0}
+    assert set(summary.duplication_summary(none).first()) == {0}
+    assert summary.marker_summary(none).first().asDict() == {"total": 0, "marked": 0, "marked_share": None, "max": 0}
