@@ -26,6 +26,8 @@ from tessera.session import stage
 COLLECTION = 12
 KEY_HASHES = 3
 BINS = 64
+#: 64-bit words of the bitmap that rules out pairs of members of one table.
+MAP_WORDS = 16
 #: Rows of one crowded table key, or pairs of one document, that a task compares.
 SHARE = 2000
 CHUNK = 256
@@ -97,6 +99,12 @@ class Signer:
         rows = _mixed(least.reshape(-1, self.key_hashes)) * self.weights
         return _mixed(rows.sum(1, dtype=np.uint64) ^ self.salt).view(np.int64)
 
+    def bitmap(self, hashes: np.ndarray) -> np.ndarray:
+        """One bit for each place that a hash falls on."""
+        bits = np.zeros(64 * MAP_WORDS, np.uint8)
+        bits[hashes & np.uint64(64 * MAP_WORDS - 1)] = 1
+        return np.packbits(bits).view(np.int64)
+
     def bins(self, hashes: np.ndarray) -> bytes:
         """How many hashes fall into each bin; one that is too full for 16 bits makes the bound useless, not wrong."""
         count = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BINS)
@@ -239,6 +247,81 @@ def _alone(texts: DataFrame, k: int) -> DataFrame:
     return single.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def _maps(texts: DataFrame, k: int) -> DataFrame:
+    """``rep, map, surplus``: a bitmap of a text's shingles, and how many more shingles it has than places in it.
+
+    Two texts share at most as many shingles as their maps share places, plus the smaller surplus.
+    """
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(k)
+        for batch in slices(batches, "text", 1 << 20):
+            found = [signer.hashes(value.as_py()) for value in batch.column(1)]
+            maps = np.array([signer.bitmap(h) for h in found], np.int64).reshape(-1, MAP_WORDS)
+            surplus = np.array([len(h) for h in found]) - np.bitwise_count(maps.view(np.uint64)).sum(1, dtype=np.int64)
+            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * MAP_WORDS)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(maps.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(surplus, pa.int64())], ["rep", "map", "surplus"])
+
+    return texts.select("rep", "text").mapInArrow(mapped, "rep long, map array<long>, surplus long")
+
+
+def _apart(member: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a < b`` of one table key and different components that no bound rules out, each at its first table.
+
+    A key's members are cut into blocks of about SHARE. All members of the key stream past each block, a few at a time,
+    so a task holds one block whatever the key's size.
+    """
+    blocks = F.ceil(F.col("n") / SHARE).cast("int")
+    own = member.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("side", F.lit(0))
+    every = member.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(1))
+    single = ["key", "block", "side", "rep", "component", "size", "common", "surplus", "i", "j"]
+    lists = ["left", "right", "map"]
+    streams = own.select(*single, *lists).unionAll(every.select(*single, *lists))
+    streams = streams.repartition("key", "block").sortWithinPartitions("key", "block", "side")
+
+    def allowed(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        # No two sets share more than the smaller count of common shingles, nor than what their bitmaps allow.
+        needed = percent * (a["size"][:, None] + b["size"])
+        shared = np.minimum(a["common"][:, None], b["common"])
+        ok = (a["rep"][:, None] < b["rep"]) & (a["component"][:, None] != b["component"]) & ((100 + percent) * shared >= needed)
+        x, y = np.nonzero(ok)
+        places = np.bitwise_count((a["map"][x] & b["map"][y]).view(np.uint64)).sum(1, dtype=np.int64)
+        ok = (100 + percent) * (places + np.minimum(a["surplus"][x], b["surplus"][y])) >= needed[x, y]
+        x, y = x[ok], y[ok]
+        for side, at in (("left", "i"), ("right", "j")):
+            equal = a[side][x] == b[side][y]
+            ok = equal.any(1) & (equal.argmax(1) == a[at][x])
+            x, y = x[ok], y[ok]
+        return a["rep"][x], b["rep"][y]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block = None, {}
+        for batch in batches:
+            rows = {c: batch.column(c).to_numpy() for c in single}
+            rows |= {c: batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in lists}
+            changed = np.zeros(max(0, batch.num_rows - 1), bool)
+            for c in ("key", "block", "side"):
+                changed |= rows[c][1:] != rows[c][:-1]
+            edges = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low == high:
+                    continue
+                if (of := (rows["key"][low], rows["block"][low])) != group:
+                    group, block = of, {c: v[:0] for c, v in rows.items()}
+                if rows["side"][low] == 0:
+                    block = {c: np.concatenate((block[c], v[low:high])) for c, v in rows.items()}
+                    continue
+                for start in range(low, high, 128):
+                    stop = min(start + 128, high)
+                    found.append(allowed(block, {c: v[start:stop] for c, v in rows.items()}))
+            a, b = (np.concatenate([f[at] for f in found]) for at in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return streams.mapInArrow(compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``<key>, n_shingles, component_id, kept`` of each row of ``docs``.
 
@@ -251,7 +334,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     First each class is compared with one other: of the classes it meets, that which meets most others. This joins
     large groups of near-copies around their least edited member. Then pairs that meet in a table and are still apart
     are compared, each at the first table they share; crowded tables are split into blocks. Shingles that a class shares
-    with no other class left, sizes and bin counts rule out pairs that cannot be linked; these bounds lose no link.
+    with no other class left, bitmaps, sizes and bin counts rule out pairs that cannot be linked; these bounds lose no link.
     """
     signed = stage(sign(docs, k, key, text), "signatures")
     # Rows with equal digests have equal keys and bins, so any of them serves; the smallest (id, t) names a text.
@@ -300,26 +383,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         "mixed",
     )
     apart_yet = stage(lookup_join(placed, mixed, ["key"], "n", "rep"), "apart")
-    alone = _alone(texts.join(apart_yet.select("rep").distinct(), "rep"), k)
+    still = stage(texts.join(apart_yet.select("rep").distinct(), "rep"), "mixed-texts")
+    alone = _alone(still, k)
     sides = (
         classes.select("rep", F.col("n").alias("size"), "left", "right").join(alone, "rep", "left")
         .withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
         .filter(100 * F.col("common") >= percent * F.col("size"))
     )
+    sides = stage(sides.join(_maps(still, k), "rep"), "mixed-sides")
     member = stage(apart_yet.join(sides, "rep"), "mixed-members")
-    blocks = F.ceil(F.col("n") / SHARE).cast("int")
-    own = member.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    every = member.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    a, b = own.alias("a"), every.alias("b")
-    first_shared = lambda side: F.array_position(F.zip_with(f"a.{side}", f"b.{side}", lambda x, y: x == y), True) - 1
-    shared = F.least("a.common", "b.common")  # no two sets share more than this
-    apart = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep"))
-        & (F.col("a.component") != F.col("b.component"))
-        & (100 * shared >= percent * (F.col("a.size") + F.col("b.size") - shared))
-        & (first_shared("left") == F.col("a.i")) & (first_shared("right") == F.col("a.j"))
-    )
-    second = a.join(b, apart).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    second = _apart(member, percent)
     more = _confirmed(_bounded(stage(second, "second-pairs"), classes, percent), texts, k, percent)
     reached = stage(components(linked.unionAll(more)), "components")
     named = classes.join(reached, classes["rep"] == reached["node"], "left").select(
