@@ -158,3 +158,125 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN {_REVISIT} THEN 'revisi
   CASE WHEN {_REVISIT} THEN newest END AS refers_to
 FROM records JOIN newest USING (payload_digest)
 """
+
+_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NO_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _split(text: str, by: str) -> str:
+    return f"list_filter(string_split_regex({_ascii_lower(f'coalesce({text}, {chr(39) * 2})')}, '{by}'), lambda x: x <> '')"
+
+
+ORACLES["op11_benchmark_decontamination"] = rf"""
+WITH docs AS (SELECT doc_id, {_split("text", _NO_WORD)} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_split("text", _NO_WORD)} AS w FROM benchmark),
+starts AS (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[s:s + 9], ' ') AS x FROM starts),
+widths AS (SELECT DISTINCT m FROM windows),
+places AS (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM docs, widths WHERE len(w) >= m),
+hits AS (
+  SELECT doc_id, s, p.m, item FROM (SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS x FROM places) p
+  JOIN windows ON windows.m = p.m AND windows.x = p.x),
+found AS (
+  SELECT doc_id, CAST(count(DISTINCT item) AS BIGINT) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS listed FROM hits GROUP BY doc_id),
+words AS (SELECT doc_id, CAST(count(DISTINCT i) AS BIGINT) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN found USING (doc_id) LEFT JOIN words USING (doc_id)
+"""
+
+_CRC_STEP = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT))), "
+    f"lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])), lambda x, i: {_CRC_STEP})))"
+)
+_NAME = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+
+
+def _state(cost: str, audit: str, text: str) -> str:
+    return f"struct_pack(c := {cost}, e := {audit}, t := {text})"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _insert(k: str, role: str) -> str:
+    return _state(f"{k}.c + 3", f"{k}.e || 'I'", f"list_append({k}.t, '{role}:')")
+
+
+def _inserted(name: str, source: str, more: str = "") -> str:
+    """States 2 and 3 (after a user, after an assistant row) also by one insert from the others."""
+    two = _least(f"{source}.s2", *[_insert(f"{source}.s{k}", "user") for k in (0, 1, 3)])
+    three = _least(f"{source}.s3", _insert(f"{source}.s2", "assistant"))
+    return f"SELECT {more} {source}.s0 AS s0, {source}.s1 AS s1, {two} AS s2, {three} AS s3"
+
+
+def _moved(to: int) -> str:
+    ways = [_state(f"s{to}.c + 4", f"s{to}.e || 'D'", f"s{to}.t")]
+    for k, speaker in {0: (), 1: ((0, "s"),), 2: ((0, "u"), (1, "u"), (3, "u")), 3: ((2, "a"),)}[to]:
+        ways.append(_state(f"CASE WHEN go OR i <> '{speaker}' THEN 1000000000 ELSE s{k}.c + cut END", f"s{k}.e || 'K'", f"list_append(s{k}.t, role || ':' || text)"))
+        if speaker != "s":
+            whose = {"u": "user", "a": "assistant"}[speaker]
+            ways.append(_state(f"CASE WHEN go THEN 1000000000 ELSE s{k}.c + 3 + cut END", f"s{k}.e || 'R'", f"list_append(s{k}.t, '{whose}:' || text)"))
+    return _least(*ways)
+
+
+_NEVER = _state("CAST(1000000000 AS BIGINT)", "''", "CAST([] AS VARCHAR[])")
+
+ORACLES["op12_conversation_repair"] = rf"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format(_NAME)} % 20 AS d FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN d = 0 THEN 0 WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded),
+placed AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS i, row_number() OVER seq AS pos,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM damaged
+  WINDOW seq AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text))),
+flagged AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, bare = '' AS blank, bare = '' OR again AS go, CASE WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS cut,
+    coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i NOT IN ('su', 'ua', 'au'), false) AS bad
+  FROM placed),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {_state("CAST(0 AS BIGINT)", "''", "CAST([] AS VARCHAR[])")} AS s0, {_NEVER} AS s1, {_NEVER} AS s2, {_NEVER} AS s3
+  FROM (SELECT DISTINCT conv_id FROM damaged)
+  UNION ALL
+  SELECT w.conv_id, f.pos, {_moved(0)}, {_moved(1)}, {_moved(2)}, {_moved(3)}
+  FROM ({_inserted("w", "v", "v.conv_id, v.pos,")} FROM ({_inserted("v", "u", "u.conv_id, u.pos,")} FROM walk u) v) w
+  JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1),
+ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+closed AS (
+  SELECT conv_id, {_least("s0", "s3")} AS s
+  FROM ({_inserted("w", "v", "v.conv_id,")} FROM ({_inserted("v", "u", "u.conv_id,")} FROM ends u) v)),
+counted AS (
+  SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (NOT go AND cut > 0) AS truncated,
+    count(*) FILTER (bad) AS illegal
+  FROM flagged GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s.c, 0) AS BIGINT) AS cost, coalesce(s.e, '') AS audit,
+  sha256(coalesce(array_to_string(s.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN closed c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLES["op13_ranked_search"] = rf"""
+WITH docs AS (SELECT doc_id, {_split("text", _NO_TERM)} AS w FROM documents),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM docs) GROUP BY ALL),
+items AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_split("text", _NO_TERM)}) AS term FROM benchmark) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM tf JOIN (SELECT DISTINCT term FROM items) USING (term), totals GROUP BY term),
+gains AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS gain
+  FROM tf JOIN weights USING (term), totals),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * gain) AS BIGINT) AS score FROM items JOIN gains USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""

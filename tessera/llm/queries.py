@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import archive, divergence, language, line_runs, minhash, mixing, pieces, quality, tiles, toxicity
+from tessera.llm import archive, contain, dialogue, divergence, language, line_runs, minhash, mixing, pieces, quality, ranked, tiles, toxicity
 from tessera.llm.common import fold_of, read
 
 #: A score from here on predicts label 1.
@@ -78,7 +78,32 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contain.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hits").cast("long")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    repaired = dialogue.repair(dialogue.damage(rows)).digests()
+    every = rows.select(F.col("conv_id").alias("every_id")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(repaired, F.col("every_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality, op3_line_dedup, op4_minhash_dedup, op5_embedding_dedup, op6_quality_rules,
-    op7_toxicity, op8_sentencepiece, op9_mix_sources, op10_warc_archive,
+    op7_toxicity, op8_sentencepiece, op9_mix_sources, op10_warc_archive, op11_benchmark_decontamination,
+    op12_conversation_repair, op13_ranked_search,
 )}
