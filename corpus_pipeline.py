@@ -33,11 +33,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id. A null id stays."""
+    """One document of each group of near-duplicates, that with the smallest id and text hash.
+
+    Rows are told apart by id and text, so a row that repeats another's id with a text of its own is judged by that
+    text; of rows equal in both one stays. A row without an id stays.
+    """
     grouped = minhash.near_duplicates(docs, k=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    kept = grouped.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionAll(docs.filter(F.col("doc_id").isNull()))
+    leading = grouped.filter(F.col("leads") & F.col("doc_id").isNotNull()).groupBy(
+        F.col("doc_id").alias("lead_id"), F.col("text_hash").alias("lead_hash")
+    )
+    leading = stage(leading.agg(F.count(F.lit(1)).alias("lead_rows")), "leading")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    same = (F.col("row.doc_id") == F.col("lead_id")) & (F.xxhash64("row.text") == F.col("lead_hash"))
+    single = rows.join(leading.filter("lead_rows = 1"), same).select("row.*")
+    repeated = rows.join(leading.filter("lead_rows > 1"), same).dropDuplicates(["lead_id", "lead_hash"]).select("row.*")
+    return single.unionAll(repeated).unionAll(docs.filter(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
