@@ -106,11 +106,8 @@ class Signer:
         return np.packbits(bits).view(np.int64)
 
     def bins(self, hashes: np.ndarray) -> bytes:
-        """How many hashes fall into each bin; one that is too full for 16 bits makes the bound useless, not wrong."""
-        count = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BINS)
-        if count.max(initial=0) > 65_535:
-            count[:] = 65_535
-        return count.astype(np.uint16).tobytes()
+        """How many hashes fall into each bin."""
+        return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes()
 
 
 def sign(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -185,7 +182,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a_n, b_n = (batch.column(i).to_numpy() for i in (2, 4))
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BINS) for i in (3, 5))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, BINS) for i in (3, 5))
             most = np.minimum(a, b).sum(1, dtype=np.int64)
             yield batch.filter(pa.array(100 * most >= percent * (a_n + b_n - most))).select(["a", "b"])
 
@@ -323,13 +320,16 @@ def _apart(member: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``<key>, n_shingles, component_id, kept`` of each row of ``docs``.
+    """``<key>, n_shingles, component_id, kept, text_hash, leads`` of each row of ``docs``.
 
     Documents are linked when their sets of ``k``-word shingles have a Jaccard similarity of at least ``percent`` per
     cent; components are what links reach, named by the smallest key. A text of fewer words is one shingle; a null or
     empty one has none and links with nothing. Equal sets are folded into a class first, so copies cost nothing
-    further. Other columns are not read. Keys are whole numbers; rows that repeat a key are one document with the
-    smallest of them, a null key links with nothing and has a null component.
+    further. Other columns are not read. Keys are whole numbers; rows that repeat a key are compared each with its own
+    text, a null key links with nothing and has a null component.
+
+    ``text_hash`` tells rows of one key apart, and ``leads`` is true for the smallest key and text hash of each group,
+    so for one row of a group unless rows repeat in both; a row that links with nothing leads itself.
 
     First each class is compared with one other: of the classes it meets, that which meets most others. This joins
     large groups of near-copies around their least edited member. Then pairs that meet in a table and are still apart
@@ -337,7 +337,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     with no other class left, bitmaps, sizes and bin counts rule out pairs that cannot be linked; these bounds lose no link.
     """
     signed = stage(sign(docs, k, key, text), "signatures")
-    # Rows with equal digests have equal keys and bins, so any of them serves; the smallest (id, t) names a text.
+    # Rows with equal digests have equal keys and bins, so any of them serves; the smallest (id, t) names a text. A
+    # class has a number of its own, since an id may stand on rows with different texts.
     classes = stage(
         signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
         .groupBy("digest")
@@ -345,7 +346,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
             F.min(F.struct("id", "t")).alias("named"), F.count(F.lit(1)).alias("copies"),
             F.first(F.struct("n", "left", "right", "bins")).alias("of"),
         )
-        .select("digest", F.col("named.id").alias("rep"), F.col("named.t").alias("t"), "copies", "of.*"),
+        .select("digest", F.monotonically_increasing_id().alias("rep"), "named.id", "named.t", "copies", "of.*"),
         "classes",
     )
     tables = stage(_table_keys(classes), "tables")
@@ -358,10 +359,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         .agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("top"), F.first("n").alias("n")),
         "centres",
     )
-    wanted = meeting.select("rep").distinct().join(classes.select("rep", "t"), "rep")
+    wanted = meeting.select("rep").distinct().join(classes.select("rep", "id", "t"), "rep")
     texts = stage(
-        docs.select(F.col(key).cast("long").alias("rep"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-        .join(wanted, ["rep", "t"]).dropDuplicates(["rep"]).select("rep", "text"),
+        docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+        .join(wanted, ["id", "t"]).dropDuplicates(["rep"]).select("rep", "text"),
         "candidate-texts",
     )
     chosen = (
@@ -395,14 +396,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     second = _apart(member, percent)
     more = _confirmed(_bounded(stage(second, "second-pairs"), classes, percent), texts, k, percent)
     reached = stage(components(linked.unionAll(more)), "components")
-    named = classes.join(reached, classes["rep"] == reached["node"], "left").select(
-        "digest", "copies", F.coalesce("component", "rep").alias("component_id")
+    grouped = classes.join(reached, classes["rep"] == reached["node"], "left").select(
+        "digest", "copies", F.struct("id", "t").alias("own"), F.coalesce("component", "rep").alias("group")
     )
-    named = stage(named, "named")
+    grouped = stage(grouped, "grouped")
+    least = grouped.groupBy("group").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("classes"))
+    named = stage(lookup_join(grouped, stage(least, "group-least"), ["group"], "classes", "digest").drop("own", "classes"), "named")
     full = lookup_join(signed.filter((F.col("n") > 0) & F.col("id").isNotNull()), named, ["digest"], "copies", "t")
-    empty = signed.filter((F.col("n") == 0) | F.col("id").isNull()).withColumn("component_id", F.col("id"))
-    out = ["id", "n", "component_id"]
+    empty = signed.filter((F.col("n") == 0) | F.col("id").isNull()).withColumn("least", F.struct("id", "t"))
+    out = ["id", "t", "n", "least"]
     return full.select(*out).unionAll(empty.select(*out)).select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("least.id")).alias("kept"), F.col("t").alias("text_hash"),
+        F.struct("id", "t").eqNullSafe(F.col("least")).alias("leads"),
     )

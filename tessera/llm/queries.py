@@ -43,7 +43,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+    grouped = minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+    return grouped.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
