@@ -85,7 +85,12 @@ def split_words(text: str) -> list[str]:
 
 
 def nbest(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The ``n`` best segmentations of a marked text (fewer if there are fewer): score and piece ids, best first."""
+    """The ``n`` best segmentations of a marked text (fewer if there are fewer): score and piece ids, best first.
+
+    The forward scores are exact, so a place leaves the queue with its best suffix first; no more than ``n`` suffixes of
+    a place can be among the ``n`` best of the whole, and later ones are not extended. Of equal scores the one whose
+    last pieces are shorter goes first, as far as sums of scores are equal to the last bit.
+    """
     end, longest, pieces, scores = len(text), vocab.longest, vocab.pieces, vocab.scores
     forward = [0.0] + [-np.inf] * end
     into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(end + 1)]
@@ -101,7 +106,7 @@ def nbest(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, tuple[int,
                 continue
             into[j].append(edge)
             forward[j] = max(forward[j], forward[i] + edge[1])
-    found, order = [], 0
+    found, order, left = [], 0, [n] * (end + 1)
     queue: list = [(-forward[end], 0, end, 0.0, None)]
     while queue and len(found) < n:
         cost, _, j, behind, path = heapq.heappop(queue)
@@ -112,8 +117,11 @@ def nbest(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, tuple[int,
                 path = path[1]
             found.append((-cost, tuple(ids)))
             continue
+        if not left[j]:
+            continue
+        left[j] -= 1
         for i, score, ids_of in into[j]:
-            order += 1
+            order -= 1
             heapq.heappush(queue, (-(forward[i] + score + behind), order, i, behind + score, (ids_of, path)))
     return found
 
@@ -286,10 +294,11 @@ def decode_ids(vocab: Vocabulary, ids: Sequence[int]) -> str:
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text", n: int = NBEST) -> DataFrame:
-    """``<key>, ids, n_pieces, scores, round_trip`` of each row of ``docs``.
+    """``<key>, ids, n_pieces, scores, others, round_trip`` of each row of ``docs``.
 
-    ``ids`` is the best segmentation, ``scores`` the scores of the up to ``n`` best in falling order, ``round_trip``
-    tells that decoding ``ids`` gives the text. A null or empty text has no pieces, one segmentation of score 0, and
+    ``ids`` is the best segmentation, ``scores`` the scores of the up to ``n`` best in falling order. ``others`` has the
+    segmentations behind the best as changes of it: from place ``at`` of ``ids``, ``cut`` ids give way to ``ids``
+    (``segmentations`` puts them together). ``round_trip`` tells that decoding ``ids`` gives the text. A null or empty text has no pieces, one segmentation of score 0, and
     makes the round trip. A mark (U+2581) in a text is read as a space, as the format has it. Rows that repeat each get
     their row; other columns are not read. A task holds one slice of texts and a bounded table of words.
     """
@@ -297,6 +306,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
     shared = spark.sparkContext.broadcast(vocab)
     rows = over_cores(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
     kind = docs.schema[key].dataType.simpleString()
+    changes = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("cut", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -308,11 +318,17 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
             split = [split_words(t) for t in texts]
             numbers = [words_of.numbers(w) for w in split]
             words_of.settle()
-            flat, scores, same = [], [], []
+            flat, scores, others, same = [], [], [], []
             for t, w, k in zip(texts, split, numbers, strict=True):
                 ids = words_of.ids(k)
                 flat.append(ids)
-                scores.append([s for s, _ in words_of.text_nbest(w, k, n)])
+                listed = words_of.text_nbest(w, k, n)
+                scores.append([s for s, _ in listed])
+                ends = np.cumsum(words_of.count[k])
+                others.append([
+                    [{"at": int(ends[p] - words_of.count[k[p]]), "cut": int(words_of.count[k[p]]), "ids": new} for p, new in sorted(changed.items())]
+                    for _, changed in listed[1:]
+                ])
                 same.append(decode_ids(known, ids.tolist()) == t.replace(SPACE, " "))
             counts = np.fromiter(map(len, flat), np.int64, len(flat))
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
@@ -320,13 +336,26 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())),
-                    pa.array(counts), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()),
+                    pa.array(counts), pa.array(scores, pa.list_(pa.float64())), pa.array(others, changes), pa.array(same, pa.bool_()),
                 ],
-                ["key", "ids", "n_pieces", "scores", "round_trip"],
+                ["key", "ids", "n_pieces", "scores", "others", "round_trip"],
             )
 
-    out = rows.mapInArrow(encoded, f"key {kind}, ids array<int>, n_pieces long, scores array<double>, round_trip boolean")
-    return out.select(F.col("key").alias(key), "ids", "n_pieces", "scores", "round_trip")
+    others = "others array<array<struct<at: int, cut: int, ids: array<int>>>>"
+    out = rows.mapInArrow(encoded, f"key {kind}, ids array<int>, n_pieces long, scores array<double>, {others}, round_trip boolean")
+    return out.select(F.col("key").alias(key), "ids", "n_pieces", "scores", "others", "round_trip")
+
+
+def segmentations(ids: Sequence[int], others: Sequence[Sequence]) -> list[list[int]]:
+    """The ids of all segmentations of one row of ``encode``, best first."""
+    out = [list(ids)]
+    for changes in others:
+        changed, moved = list(ids), 0
+        for at, cut, new in changes:
+            changed[at + moved : at + moved + cut] = new
+            moved += len(new) - cut
+        out.append(changed)
+    return out
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
