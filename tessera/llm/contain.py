@@ -24,6 +24,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Words of a shingle; a shorter window is one shingle.
 SHINGLE = 5
+#: Item shingles that are broadcast at a time, 8 bytes each; more of them make more scans.
+BLOCK_ROWS = 4_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -48,9 +50,21 @@ def item_windows(items: DataFrame, key: str, text: str, window: int = WINDOW) ->
     return rows.distinct()
 
 
+def _matches(docs: DataFrame, hashes: DataFrame, width: int, window: int) -> DataFrame:
+    """Places of ``docs(k, t, words)`` whose shingle is in ``hashes``, with the words that a window there may reach.
+
+    ``hashes`` has at most a block's rows and is broadcast; only what matches leaves the task.
+    """
+    n, low = F.size("words"), F.greatest(F.col("at") - (window - width), F.lit(0))
+    places = docs.select("k", "t", "words", F.posexplode(_shingles(F.col("words"), width)).alias("at", "h"))
+    return places.join(F.broadcast(hashes), "h").select(
+        "k", "t", "h", n.alias("n"), "at", low.alias("low"), F.slice("words", low + 1, 2 * window - width).alias("near")
+    )
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
+    item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``<key>, n_words, hits, items`` of each row of ``docs``.
 
@@ -60,46 +74,47 @@ def decontaminate(
     are one item, a null id is an empty string. Empty tables work. Columns other than these four are not read.
 
     Documents are told apart by key and text hash until the end. What is exploded is one 8-byte hash a word; it meets
-    the distinct item shingles, and only places that match are staged. A passage that stands in a third of all
+    the distinct item shingles, at most ``block_rows`` of them in a scan, and only places that match are staged, with the
+    few words around them that the comparison needs: texts are not shuffled. A passage that stands in a third of all
     documents is split over tasks (``lookup_join``) where it meets its windows.
     """
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     owned = stage(item_windows(items, item_key, item_text, window), "item-windows")
     windows = owned.select("window", "len").distinct()
     widths = sorted(r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("width")).distinct().collect())
-    parts = [
-        windows.filter(F.least("len", F.lit(shingle)) == width)
-        .select("window", "len", F.posexplode(_shingles(F.split("window", " "), width)).alias("offset", "h"))
-        for width in widths
-    ]
-    counted = over_cores(rows, "t").withColumn("words", words_of(F.col("text")))
-    places = [counted.select("k", "t", F.size("words").alias("n"), F.posexplode(_shingles(F.col("words"), w)).alias("at", "h")) for w in widths]
     if not widths:
         return rows.select(
             F.col("k").alias(key), F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
             F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"),
         )
+    parts = [
+        windows.filter(F.least("len", F.lit(shingle)) == width)
+        .select("window", "len", F.posexplode(_shingles(F.split("window", " "), width)).alias("offset", "h"))
+        for width in widths
+    ]
     pieces = stage(reduce(DataFrame.unionAll, parts), "window-shingles")
-    # Rows that repeat in key and text have the same places, so one of each will do.
-    seen = stage(reduce(DataFrame.unionAll, places).join(pieces.select("h").distinct(), "h").select("k", "t", "n", "at", "h"), "seen-shingles")
+    # Rows that repeat in key and text have the same places; what follows keeps one of each.
+    hashes = stage(pieces.select("h").distinct(), "item-shingles")
+    blocks = hashes.count() // block_rows + 1
+    worded = over_cores(rows, "t").select("k", "t", words_of(F.col("text")).alias("words"))
+    found = [
+        _matches(worded, hashes.filter(F.pmod("h", F.lit(blocks)) == block), width, window)
+        for block in range(blocks) for width in widths
+    ]
+    seen = stage(reduce(DataFrame.unionAll, found), "seen-shingles")
     rarity = stage(seen.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "shingle-rarity")
     ranked = pieces.join(rarity, "h", "left").groupBy("window", "len").agg(
         F.min(F.coalesce("df", F.lit(0))).alias("least"), F.min(F.struct("df", "h", "offset")).alias("rarest")
     )
     prefix = stage(ranked.filter("least > 0").select("window", "len", "rarest.h", "rarest.offset", "rarest.df"), "window-prefixes")
     weights = stage(prefix.groupBy("h").agg(F.max("df").alias("df"), F.collect_list(F.struct("window", "len", "offset")).alias("windows")), "prefix-windows")
-    met = lookup_join(seen, weights, ["h"], "df", "t").select("k", "t", "n", "at", F.explode("windows").alias("of"))
+    met = lookup_join(seen, weights, ["h"], "df", "t").select("k", "t", "n", "at", "low", "near", F.explode("windows").alias("of"))
     start = F.col("at") - F.col("of.offset")
-    fits = met.select("k", "t", "n", start.alias("start"), "of.window", "of.len").filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
-    asked = stage(fits.groupBy("k", "t").agg(F.collect_set(F.struct("start", "len")).alias("asked")), "asked-windows")
-    # Word by word: the text at each place against the windows themselves.
-    texts = rows.join(asked, rows["k"].eqNullSafe(asked["k"]) & (rows["t"] == asked["t"])).select(rows["k"], rows["t"], "text", "asked")
-    there = F.transform(
-        F.array(words_of(F.col("text"))),
-        lambda w: F.transform("asked", lambda a: F.struct(a["start"].alias("start"), a["len"].alias("len"), F.array_join(F.slice(w, a["start"] + 1, a["len"]), " ").alias("window"))),
-    )[0]
-    verified = texts.select("k", "t", F.explode(there).alias("a")).select("k", "t", "a.start", "a.len", "a.window").join(windows, ["window", "len"])
-    verified = stage(verified, "verified-windows")
+    fits = met.select("k", "t", "n", "low", "near", start.alias("start"), "of.window", "of.len").filter(
+        (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))
+    )
+    same = F.array_join(F.slice("near", F.col("start") - F.col("low") + 1, F.col("len")), " ") == F.col("window")
+    verified = stage(fits.filter(same).select("k", "t", "start", "len", "window").distinct(), "verified-windows")
     spans = verified.groupBy("k", "t").agg(F.collect_set(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("spans"))
     spans = spans.select("k", "t", F.array_sort(F.array_distinct(F.flatten("spans"))).alias("hits"))
     uses = stage(verified.select("k", "t", "window").distinct(), "window-uses")
