@@ -1,5 +1,8 @@
 import random
+import re
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,7 +11,8 @@ from pyspark.sql import functions as F
 import brute
 from tessera.functions.text import text_tokens
 from tessera.operators.neardup import best_by_sketch, build_index, sketch_pairs
-from tessera.operators.scoring import best_by_text, successors
+from tessera.operators import scoring
+from tessera.operators.scoring import Texts, best_by_text, common_length, ratio_bounds, successors
 
 
 def corpus(seed, units=60, words=400):
@@ -41,7 +45,8 @@ def units_of(spark, texts):
 
 
 def sketches_of(texts):
-    return {k: brute.sketch(t.split()) for k, t in texts.items()}
+    number = re.compile(r"[0-9]+(\.[0-9]+)?")
+    return {k: brute.sketch(["0" if number.fullmatch(w) else w for w in t.split()]) for k, t in texts.items()}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -78,8 +83,8 @@ def test_pairs_are_those_of_distinct_sketches(spark, request, limits):
     assert {(r["a"], r["b"]): r["jaccard"] for r in rows} == expected
 
 
-def test_text_of_frequent_characters_only_does_not_match_its_copy(spark):
-    """With 200 characters or more and none of them rare, the matcher finds nothing, even in an equal text."""
+def test_text_of_frequent_characters_only(spark):
+    """With 200 characters or more and none of them rare, the matcher finds no more than a common beginning."""
     plain = " ".join(["ab ba aab"] * 40)
     rare = " ".join(["ab ba aab"] * 39) + " xyz ab ba"
     texts = {1: plain, 2: plain, 3: rare, 4: plain, 5: rare, 6: plain.replace(" ", "\n")}
@@ -128,3 +133,100 @@ def test_prefix_rule(a, b):
     if len(a & b) / len(a | b) >= 0.3:
         assert min(a & b) in prefix(a) & prefix(b)
         assert min(len(a), len(b)) >= needed(a | b) or min(len(a), len(b)) * 10 >= 3 * max(len(a), len(b))
+
+
+def one_template(n, seed=7):
+    """Functions that differ only in their numbers: the tokens, and so the sketches, are equal."""
+    rng = random.Random(seed)
+    texts = {}
+    for key in range(n):
+        v = [rng.randrange(10 ** rng.randrange(1, 6)) for _ in range(8)]
+        texts[key] = (
+            f"def load_settings(path, retries = {v[0]} ):\n    \"\"\"Read settings from PATH.\"\"\"\n    LIMIT = {v[1]}\n"
+            f"    TIMEOUT_MS = {v[2]}\n    with open(path) as handle:\n        data = json.load(handle)\n"
+            f"    if len(data) > {v[3]} and retries < {v[4]} :\n        raise ValueError('too many keys: %d' % len(data))\n"
+            f"    for key, value in sorted(data.items()):\n        Config.set(key.upper(), value * {v[5]} + {v[6]} )\n"
+            f"    return Config(LIMIT, TIMEOUT_MS, [ {v[7]} ])\n"
+        )
+    return texts
+
+
+def scored_pairs(spark, monkeypatch, texts, **limits):
+    """Best partners, and how many pairs went through the matcher."""
+    n, plain = [0], scoring.score_pairs
+
+    def counted(pairs, bodies, autojunk=True):
+        out = plain(pairs, bodies, autojunk)
+        n[0] += out.filter("coalesce(r_forward, r_backward) is not null").count()
+        return out
+
+    with monkeypatch.context() as patched:
+        patched.setattr(scoring, "score_pairs", counted)
+        for name, value in limits.items():
+            patched.setattr(scoring, name, value)
+        sources, units = units_of(spark, texts)
+        index = build_index(units)
+        rows = best_by_text(index, sources, best_by_sketch(index)).collect()
+    return {r["key"]: (r["score"], r["partner"]) for r in rows}, n[0]
+
+
+def test_one_template_scores_fewer_pairs_than_it_has(spark, monkeypatch):
+    """Scored pairs grow clearly slower than the pairs, and no winner is lost."""
+    share = {}
+    for size in (100, 200, 400):
+        texts = one_template(size)
+        found, scored = scored_pairs(spark, monkeypatch, texts)
+        pairs = size * (size - 1) // 2
+        share[size] = scored / pairs
+        print(f"{size} texts, {pairs} pairs, {scored} scored")
+        if size == 100:
+            assert found == brute.best_by_ratio(sketches_of(texts), texts)
+    assert share[400] < 0.8 * share[200] < 0.7 * share[100] and share[400] < 0.25
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_best_first_in_small_cells_equals_brute_force(spark, monkeypatch, tiny_limits, seed):
+    """Copied texts, blocks of a few texts and of a few characters, and texts that the matcher does not find again."""
+    rng = random.Random(seed)
+    texts = one_template(24, seed)
+    texts |= {100 + k: texts[rng.randrange(24)] for k in range(6)}
+    texts |= {200 + k: " ".join(rng.choice(("ab", "ba", "aab")) + rng.choice(("", "", "\n")) for _ in range(90)) for k in range(3)}
+    plain = " ".join(["ab ba aab"] * 40)
+    texts |= {300 + k: plain.replace(" ", "\n", k % 4) for k in range(9)}
+    limits = {"FEW_TEXTS": 3, "CELL_ROWS": 5, "CELL_CHARS": 1 << 11, "PARTNERS": 2}
+    found, _ = scored_pairs(spark, monkeypatch, texts, **limits)
+    assert found == brute.best_by_ratio(sketches_of(texts), texts)
+
+
+words = st.lists(st.sampled_from(["ab", "ba", "xyz", "q", "1", "22", "é", "\n", "aab "]), max_size=90).map(" ".join)
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(words.filter(bool), min_size=2, max_size=5), st.booleans())
+def test_bounds_hold(texts, autojunk):
+    own = Texts(texts, autojunk)
+    yes = np.ones((len(texts), len(texts)), bool)
+    bounds = ratio_bounds(own, own, yes, ~yes)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            ratio = SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
+            assert ratio <= bounds[i, j]
+            assert ratio <= 2.0 * common_length(a, b) / (len(a) + len(b))
+        assert SequenceMatcher(None, a, a, autojunk=autojunk).ratio() == 1
+
+
+def test_common_length():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert common_length(a, b) == row[-1]
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
+    return out
