@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.plans.rendered import BAD_BYTES
+
 
 def _tokens(table: str, key: str, text: str) -> str:
     return rf"""
@@ -315,3 +317,35 @@ ORACLES = {
            other.lineno AS other_lineno FROM best""",
     "report_roundtrip": f"WITH {_CODE}, {_CODE_NODES} SELECT * FROM nodes",
 }
+
+# Files as ``rendered_rows`` places them; what the scan finds of them; their text as decoding leaves it.
+_TREE = f"""
+tree AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    CASE WHEN doc_id % 11 = 4 THEN 'src/skip' WHEN doc_id % 13 = 5 THEN 'more' ELSE 'src/a' || doc_id % 4 || '/b' || doc_id % 7 END AS folder,
+    CASE doc_id % 5 WHEN 1 THEN '_' WHEN 2 THEN '.' ELSE '' END || 'f' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.py' END AS name,
+    doc_id % 23 = 6 AS dangling, doc_id % 19 = 3 AND NOT doc_id % 23 = 6 AS linked,
+    CASE doc_id % 17 {" ".join(f"WHEN {k} THEN {len(raw) // 2}" for k, (raw, _) in enumerate(BAD_BYTES))} ELSE 0 END AS bad,
+    CASE doc_id % 17 {" ".join(f"WHEN {k} THEN {n}" for k, (_, n) in enumerate(BAD_BYTES))} ELSE 0 END AS replaced
+  FROM documents),
+found AS (
+  SELECT *, folder || '/' || name AS path FROM tree
+  WHERE folder NOT IN ('src/skip', 'src/a2/b0')
+    AND (linked OR name LIKE '%.py' AND (folder LIKE 'src/%' OR name = '_f31.py')))
+"""
+
+ORACLES["scan_files"] = f"""
+WITH {_TREE}
+SELECT path, CAST(strlen(text) + bad + CASE WHEN doc_id % 4 = 1 THEN length(text) - length(replace(text, chr(10), '')) ELSE 0 END AS BIGINT) AS size,
+  CAST(length(text) + replaced AS INTEGER) AS chars, md5(text || repeat(chr(65533), replaced)) AS content_md5
+FROM found
+"""
+
+ORACLES["scan_plan"] = f"WITH {_TREE} SELECT path FROM found"
+
+ORACLES["scan_errors"] = f"""
+WITH {_TREE}
+SELECT 'none' AS path, 'input' AS kind, CAST(1 AS BIGINT) AS n
+UNION ALL SELECT 'src/away', 'ignore', 1
+UNION ALL SELECT 'gone.py', 'file', 1 FROM (SELECT 1 FROM tree WHERE dangling LIMIT 1)
+"""

@@ -22,8 +22,10 @@ from tessera.operators.extract import render_corpus
 from tessera.operators.neardup import attach_matches, best_by_sketch, build_index, sketch_pairs, sketch_units
 from tessera.operators.scoring import best_by_text, score_pairs
 from tessera.plans.analysis import Report
+from tessera.plans.rendered import render_files
 from tessera.session import spread, stage, stage_path
-from tessera.sources.files import drop_ignored, merge_inputs
+from tessera.sources.corpus import scan_table
+from tessera.sources.files import drop_ignored, merge_inputs, plan_scan, scan_corpus
 from tessera.sources.report import read_report
 from tessera.sources.tables import document_path, document_units, page_paths, table, token_units
 
@@ -155,6 +157,40 @@ def neardup_scored(spark, sf_dir):
     return attach_matches(best, document_units(documents)).withColumnRenamed("key", "doc_id")
 
 
+# The scan, over files that tasks have written
+
+
+def _tree(spark, sf_dir) -> tuple[str, list[str], list[str]]:
+    """Root of the rendered files, overlapping and missing inputs, and ignores."""
+    root = render_files(_documents(spark, sf_dir))
+    inputs = ("src", "src/a1", "src/a1/b1", "more/_f31.py", "none")
+    return root, [f"{root}/{p}" for p in inputs], [f"{root}/{p}" for p in ("src/skip", "src/a2/b0", "src/away")]
+
+
+def _inside(root: str) -> Column:
+    return F.replace("path", F.lit(f"{root}/"), F.lit(""))
+
+
+def scan_files(spark, sf_dir):
+    """Found files with size and decoded content: overlapping folders, a single file, links, ignored folders."""
+    root, inputs, ignores = _tree(spark, sf_dir)
+    found = scan_table(spark, inputs, ignores).filter(F.col("error").isNull())
+    return found.select(_inside(root).alias("path"), "size", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
+
+
+def scan_plan(spark, sf_dir):
+    """The dry run of the scan that the analysis uses: paths only, nothing is opened."""
+    root, inputs, ignores = _tree(spark, sf_dir)
+    return plan_scan(scan_corpus(spark, inputs, ignores)).select(_inside(root).alias("path"))
+
+
+def scan_errors(spark, sf_dir):
+    """What the scan could not find: an input, an ignored folder, and the targets of links."""
+    root, inputs, ignores = _tree(spark, sf_dir)
+    bad = scan_table(spark, inputs, ignores, content=False).filter(F.col("error").isNotNull())
+    return bad.groupBy(_inside(root).alias("path"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Paths and trees
 
 
@@ -414,7 +450,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         unit_lines_tokens, marker_counts, line_slice, qualified_names, shingle_sketch, neardup_pairs, neardup_best,
-        neardup_pages, neardup_merged, neardup_scored, scan_dedup_ignore, path_ancestors, dir_nodes, node_predicates,
+        neardup_pages, neardup_merged, neardup_scored, scan_files, scan_plan, scan_errors, scan_dedup_ignore, path_ancestors, dir_nodes, node_predicates,
         prune_root, subtree_nodes, subtree_weight, sibling_rank, leaf_units, node_counts, summary_expressions,
         summary_lines, summary_generic, summary_lineitem, summary_dup_weighted, summary_ratio, summary_markers,
         group_summary, metric_unpivot, metric_selected, metric_scaled, unit_details, topk_units, code_units, code_files,

@@ -3,8 +3,11 @@ import os
 import pytest
 
 import tessera
+from pyspark.sql import functions as F
 from fixtures import FILES, body
 from tessera.sources import files as source_files
+from tessera.sources import corpus as source_corpus
+from tessera.sources.corpus import scan_table
 from tessera.sources.files import drop_ignored, plan_scan, scan_corpus
 
 
@@ -96,3 +99,39 @@ def test_one_client_per_store():
     assert source_files._open("file:///a/b%20c.py", opened)[1] == "/a/b c.py"
     assert source_files._open("file:///a/d.py", opened)[1] == source_files._open("file:///a/d.py", opened)[1] == "/a/d.py"
     assert len(opened) == 2
+
+
+@pytest.mark.parametrize("limits", [(200, 5_000), (1, 5_000), (40, 1)])
+def test_scan_table_finds_what_the_scan_finds(spark, tree, monkeypatch, limits):
+    """Whole subtrees, opened folders, and folders dealt by name; links, hidden names, repeated inputs."""
+    monkeypatch.setattr(source_corpus, "PARTITIONS", limits[0])
+    monkeypatch.setattr(source_corpus, "FILES_PER_PART", limits[1])
+    outside = tree / "outside.py"
+    outside.write_bytes(b"y = 2\r\nz = '\xe2\x82'\r")
+    (tree / "pkg/link.py").symlink_to(outside)
+    (tree / "pkg/again.py").symlink_to(tree / "pkg/a.py")
+    (tree / "pkg/folder").symlink_to(tree / "gen")
+    (tree / "pkg/lost.py").symlink_to(tree / "nowhere.py")
+    paths = [str(tree / "pkg"), str(tree / "pkg/_private"), str(tree / "gen/d.py"), str(tree / "none")]
+    ignore = [str(tree / "pkg/.hidden"), str(tree / "away")]
+    rows = {os.path.relpath(r["path"], tree): r for r in scan_table(spark, paths, ignore).collect()}
+    good = sorted(p for p, r in rows.items() if r["error"] is None)
+    assert good == scanned(scan_corpus(spark, paths, ignore), tree)
+    assert good == ["gen/d.py", "outside.py", "pkg/__init__.py", "pkg/_private/b.py", "pkg/a.py"]
+    assert rows["outside.py"]["linked"] and not rows["pkg/a.py"]["linked"]
+    assert rows["outside.py"]["content"] == "y = 2\nz = '\ufffd'\n" and rows["outside.py"]["size"] == 16
+    assert {p: (r["kind"], r["size"], r["content"]) for p, r in rows.items() if r["error"]} == {
+        "none": ("input", None, None), "away": ("ignore", None, None), "nowhere.py": ("file", None, None),
+    }
+    dry = scan_table(spark, paths, ignore, content=False)
+    assert {r["content"] for r in dry.collect()} == {None} and dry.count() == len(rows)
+
+
+def test_scan_table_of_nothing(spark, tmp_path):
+    assert scan_table(spark, []).isEmpty() and scan_table(spark, [str(tmp_path)]).isEmpty()
+
+
+@pytest.mark.parametrize("raw", [b"\xff", b"a\xe2\x82", b"\xf0\x9f\x98b", b"\xc0\xaf", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xe0\x80\xafx", b"\xf1\x80\x41\xc3"])
+def test_bad_bytes_are_replaced_as_python_does(spark, raw):
+    row = spark.createDataFrame([(raw,)], "raw binary").select(source_files.decode(F.col("raw")).alias("text")).first()
+    assert row["text"] == raw.decode("utf-8", "replace")
