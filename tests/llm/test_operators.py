@@ -1,6 +1,8 @@
 """The operators against brute force, round trips and held-out labels, and on null, empty, repeated and odd rows."""
 
 import collections
+import hashlib
+import heapq
 import itertools
 import math
 import os
@@ -14,7 +16,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import archive, divergence, language, line_runs, minhash, mixing, pieces, quality, tiles, toxicity
+from tessera.llm import archive, contain, dialogue, divergence, language, line_runs, minhash, mixing, pieces, quality, ranked, tiles, toxicity
 from tessera.llm.oracles import ORACLES
 from tessera.llm.queries import QUERIES
 
@@ -189,8 +191,28 @@ def test_runs_count_like_one_group_by(spark):
     for _ in range(5):
         batch = [(rng.randrange(12), 0) for _ in range(15)]
         total.update(batch)
-        runs.add(spark.createDataFrame(batch, "h1 long, h2 long"))
-    assert {(r.h1, r.h2) for r in runs.frequent().collect()} == {k for k, n in total.items() if n >= 4}
+        runs.add(spark.createDataFrame([(*k, True) for k in batch], "h1 long, h2 long, first boolean"))
+    # Settled keys are counted on, so that the weights are the true ones.
+    found = {(r.h1, r.h2): (r.n, r.n_lines) for r in runs.frequent().collect()}
+    assert found == {k: (n, n) for k, n in total.items() if n >= 4}
+
+
+def test_stored_runs_take_a_later_batch(spark, tmp_path):
+    """Documents of an earlier call count, and a folder is gone on with by its own list of runs."""
+    folder = str(tmp_path / "runs")
+    first = docs_of(spark, [(i, f"common\nown {i}") for i in range(1, 7)])
+    assert {tuple(r.kept) for r in line_runs.drop_lines(first, folder=folder).collect()} == {("common", f"own {i}") for i in range(1, 7)}
+    later = docs_of(spark, [(i, f"COMMON \nnew {i}\ncommon") for i in range(11, 15)])
+    assert {tuple(r.kept) for r in line_runs.drop_lines(later, folder=folder).collect()} == {(f"new {i}",) for i in range(11, 15)}
+    again = line_runs.LineRuns(spark, folder)
+    assert again.version == 2 * line_runs.BATCHES and {(r.n, r.n_lines) for r in again.frequent().collect()} == {(10, 14)}
+
+
+def test_places_of_lines_in_a_long_text(spark):
+    text = "\n".join(f"x{i % 700}" for i in range(30_000)) + "\n\n  "
+    rows = spark.createDataFrame([(text,)], "text string").select(F.explode(line_runs.line_places(F.col("text"))).alias("x")).select("x.*").collect()
+    assert sorted(r["at"] for r in rows) == list(range(30_000))
+    assert sorted(r["at"] for r in rows if r["first"]) == list(range(700))
 
 
 @pytest.mark.parametrize("limits", [(2000, 256), (3, 2)])
@@ -369,3 +391,244 @@ def test_pipeline_stages(spark, tmp_path):
         before = docs.count()
     assert docs.filter(~F.col("round_trip")).count() == 0
     assert corpus_pipeline.run(spark, SF_DIR).count() == before
+
+
+BENCHMARK = "item_id long, text string, doc_id long, words string"
+
+
+def items_of(spark, texts):
+    return spark.createDataFrame([(i, t, 5, "x") for i, t in texts], BENCHMARK)
+
+
+def ascii_words(text, kept):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return "".join(c if c in kept or ord(c) > 127 else " " for c in low).split(" ")
+
+
+def words_of(text, kept="abcdefghijklmnopqrstuvwxyz0123456789"):
+    return [w for w in ascii_words(text, kept) if w]
+
+
+def passages(seed, n=60):
+    """Items, and documents with passages of them: whole, in parts, at the ends, overlapping, in other letters."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)] + ["\u00c9cole", "\u00e9cole", "Na\u00efve", "\u65e5\u672c"]
+    fresh = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    items = [(i, " ".join(fresh(rng.choice((1, 3, 5, 9, 10, 11, 25))))) for i in range(14)]
+    items += [(20, None), (21, ""), (22, "-- !"), (None, " ".join(fresh(12))), (3, " ".join(fresh(14))), (23, items[5][1])]
+    docs = []
+    for i in range(n):
+        words = fresh(rng.choice((0, 4, 9, 40)))
+        for _ in range(rng.randrange(3)):
+            passage = (rng.choice(items)[1] or "").split()
+            low = rng.randrange(max(1, len(passage) - 8))
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = passage[low : low + rng.choice((9, 10, 14, 30))]
+        text = rng.choice((" ", "\n", ", ")).join(words)
+        docs.append((i, text.upper() if i % 7 == 0 and text.isascii() else text))
+    return items, docs + [*ODD, (2, "w1 w2 w3"), (7, docs[7][1])]
+
+
+def hit_by_hand(items, docs, window=10):
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = words_of(t)
+        for s in range(max(1, len(w) - window + 1) if w else 0):
+            windows[tuple(w[s : s + window])].add("" if i is None else str(i))
+    out = []
+    for d, t in docs:
+        w, hits, found = words_of(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for s in range(len(w) - size + 1):
+                if (x := tuple(w[s : s + size])) in windows:
+                    hits |= set(range(s, s + size))
+                    found |= windows[x]
+        out.append((None if d == 99 else d, len(w), tuple(sorted(hits)), tuple(sorted(found))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 4_000_000), (2, 20)])
+def test_contained_windows_equal_brute_force(spark, seed, block):
+    items, docs = passages(seed)
+    found = contain.decontaminate(docs_of(spark, docs), items_of(spark, items), block_rows=block)
+    rows = [(r.doc_id, r.n_words, tuple(r.hits), tuple(r["items"])) for r in found.collect()]
+    assert sorted(rows, key=repr) == hit_by_hand(items, docs) and any(r[2] for r in rows)
+
+
+def test_contained_windows_of_empty_tables(spark):
+    items, docs = items_of(spark, [(1, "one two")]), docs_of(spark, ODD)
+    assert contain.decontaminate(docs.limit(0), items).count() == 0
+    for none in (items.limit(0), items_of(spark, [(1, None), (2, "...")])):
+        rows = contain.decontaminate(docs, none).collect()
+        assert len(rows) == len(ODD) and not any(r.hits or r["items"] for r in rows)
+
+
+def repaired_by_hand(rows):
+    """Cheapest edits by trying all, least audit first: rows are ``(role, text)`` in order."""
+    seen, facts, counts = set(), [], [0, 0, 0]
+    for role, text in rows:
+        bare = text.rstrip(" \t\n\x0b\x0c\r")
+        again, blank, cut = (role, text) in seen, not bare, bool(bare) and bare[-1] not in ".!?"
+        seen.add((role, text))
+        for k, fault in enumerate((blank, again and not blank, cut and not again)):
+            counts[k] += fault
+        facts.append((blank or again, 3 if cut else 0))
+    order = {"": "", "s": "s", "u": "u", "a": "a"}
+    steps = {"": "su", "s": "u", "u": "a", "a": "u"}
+    done = {}
+    heap = [(0, "", 0, "", ())]
+    while heap:
+        cost, audit, at, state, out = heapq.heappop(heap)
+        if (at, state) in done:
+            continue
+        done[at, state] = True
+        if at == len(rows) and order[state] in ("", "a"):
+            return counts, cost, audit, "\n".join(out)
+        for c in steps[state].replace("s", ""):
+            heapq.heappush(heap, (cost + 3, audit + "I", at, c, (*out, {"u": "user:", "a": "assistant:"}[c])))
+        if at < len(rows):
+            (role, text), (must_go, cut) = rows[at], facts[at]
+            heapq.heappush(heap, (cost + 4, audit + "D", at + 1, state, out))
+            if not must_go:
+                if role[:1] and role[:1] in steps[state]:
+                    heapq.heappush(heap, (cost + cut, audit + "K", at + 1, role[:1], (*out, f"{role}:{text}")))
+                for c in steps[state].replace("s", ""):
+                    heapq.heappush(heap, (cost + 3 + cut, audit + "R", at + 1, c, (*out, {"u": "user:", "a": "assistant:"}[c] + text)))
+
+
+def talks(seed):
+    rng = random.Random(seed)
+    rows = []
+    for conv in [*range(25), None]:
+        n = rng.choice((0, 1, 2, 5, 9, 60 if conv == 7 else 3))
+        for k in range(n):
+            role = rng.choice(("user", "assistant", "user", "assistant", "system", "umpire", "tool", ""))
+            text = rng.choice(("Fine.", "Cut", "", " \t", "So? \n", f"Own {k}!", "caf\u00e9."))
+            rows.append((conv, rng.choice((k, k + 1, None)), role, text, "x", 1))
+    return rows + [(50, None, None, None, "x", 1), (51, 3, "user", None, "x", 1), (52, 1, "user", "word " * 50_000 + ".", "x", 1)]
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {}), (3, {"LONG_ROWS": 2, "PIECE_CHARS": 10, "UNROLLED": 3})])
+def test_repairs_equal_brute_force(spark, monkeypatch, seed, limits):
+    """Also with conversations that are cut into segments and pieces."""
+    for name, value in limits.items():
+        monkeypatch.setattr(dialogue, name, value)
+    rows = talks(seed)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, audit string, cost int")
+    repaired = dialogue.repair(frame)
+    assert limits == {} or repaired.conversations.filter("repaired is null").count() > 3
+    found = {r.conv_id: r for r in repaired.digests().collect()}
+    assert set(found) == {r[0] for r in rows}
+    by_conv = collections.defaultdict(list)
+    for conv, turn, role, text, *_ in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        body = hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+        by_conv[conv].append((turn is not None, turn or 0, body, role, text, turn))
+    for conv, own in by_conv.items():
+        own.sort(key=lambda r: r[:3])
+        pairs = [(r[3], r[4]) for r in own]
+        counts, cost, audit, text = repaired_by_hand(pairs)
+        turns = {r[5] for r in own} - {None}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(pairs))
+        r = found[conv]
+        assert [r.blank, r.duplicate, r.truncated] == counts and (r.gaps, r.illegal) == (gaps, illegal)
+        assert (r.cost, r.audit) == (cost, audit), (conv, pairs)
+        assert r.sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_long_runs_by_powers():
+    """A million equal rows: the cost is that of single steps, and the edits come in time that grows with the rows."""
+    for sym in range(1, 9):
+        slow = dialogue.AT_END
+        for _ in range(1000):
+            slow = dialogue.advance(sym, 1, slow)
+        assert dialogue.advance(sym, 1000, dialogue.AT_END) == slow
+    cost, edits = dialogue.solve([(3, 200_001), (5, 1)])
+    audit = "".join(names for _, names in edits)
+    assert cost == sum({"D": 4, "I": 3, "R": 3, "K": 0}[c] for c in audit) and len(audit.replace("I", "")) == 200_002
+
+
+def test_repair_of_no_rows(spark):
+    frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert dialogue.repair(frame).digests().count() == 0
+    whole = spark.createDataFrame([(1, 19, "user", "Hi.")], "conv_id long, turn long, role string, text string")
+    codes = {t: zlib.crc32(f"1:{t}".encode()) % 20 for t in range(100)}
+    for code, rows in ((0, []), (1, [("user", "")]), (2, [("user", "Hi")]), (3, [("user", "Hi.")] * 2), (4, [("user", "Hi.")])):
+        turn = next(t for t, c in codes.items() if c == code)
+        damaged = dialogue.damage(whole.withColumn("turn", F.lit(turn).cast("long")).withColumn("role", F.lit("user")))
+        assert [(r.role, r.text) for r in damaged.collect()] == rows
+
+
+def ranked_by_hand(items, docs, top=20):
+    terms = {k: words_of(t) for k, (_, t) in enumerate(docs)}
+    counts = {k: collections.Counter(w) for k, w in terms.items()}
+    texts, total = sum(map(bool, terms.values())), sum(map(len, terms.values()))
+    df = collections.Counter(t for c in counts.values() for t in c)
+    out = []
+    for i, text in items:
+        scored = []
+        for k, c in counts.items():
+            m = 75 + 25 * len(terms[k]) * texts // total
+            score = sum(
+                math.floor(1000 * math.log((2 * texts + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t in words_of(text) if c[t]
+            )
+            if score > 0:
+                d = docs[k][0]
+                scored.append((-score, d == 99, d))
+        out += [(i, rank, None if null else d, -s) for rank, (s, null, d) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(4, {}), (5, {"PIECE_BYTES": 16, "CELLS": 8})])
+def test_ranks_equal_brute_force(spark, monkeypatch, seed, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ranked, name, value)
+    items, docs = passages(seed)
+    rows = [tuple(r) for r in ranked.search(docs_of(spark, docs), items_of(spark, items), block_bytes=300 if limits else 1 << 20).collect()]
+    assert sorted(rows, key=repr) == ranked_by_hand(items, docs)
+    few = ranked.search(docs_of(spark, docs), items_of(spark, items), top=2).collect()
+    assert max(r["rank"] for r in few) == 2
+
+
+def test_ranks_of_empty_tables(spark):
+    docs, items = docs_of(spark, ODD), items_of(spark, [(1, "one two word"), (2, None)])
+    assert {r.item_id for r in ranked.search(docs, items).collect()} == {1}
+    for a, b in ((docs.limit(0), items), (docs, items.limit(0)), (docs_of(spark, [(1, None), (2, "...")]), items)):
+        assert ranked.search(a, b).count() == 0
+
+
+def test_nbest_of_long_runs_ends():
+    vocab = pieces.load()
+    for c in "a=-":
+        listed = pieces.nbest(vocab, pieces.SPACE + c * 30_000, 3)
+        assert len({ids for _, ids in listed}) == 3 and listed[0][0] >= listed[1][0] >= listed[2][0]
+
+
+def test_all_segmentations_come_back(spark):
+    vocab = pieces.load()
+    texts = [(i, t) for i, t in [(1, "unbelievable things happen"), (2, "a"), (3, ""), (4, None), (5, "caf\u00e9 \U0001f600 x\n y")]]
+    for r in pieces.encode(docs_of(spark, texts), vocab).collect():
+        text = dict(texts)[r.doc_id] or ""
+        every = pieces.segmentations(r.ids, r.others)
+        assert len(every) == len(r.scores) and len({tuple(x) for x in every}) == len(every)
+        for ids, score in zip(every, r.scores, strict=True):
+            assert pieces.decode_ids(vocab, ids) == text
+            if all(math.isfinite(vocab.scores[i]) for i in ids):
+                assert sum(vocab.scores[i] for i in ids) == pytest.approx(score)
+
+
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    words = [f"w{i}" for i in range(200)]
+    one, two = " ".join(words[:60]), " ".join(words[100:160])
+    texts = [(7, one), (7, two), (3, two + " more"), (8, one + " more"), (9, "alone here")]
+    rows = minhash.near_duplicates(docs_of(spark, texts), k=3, percent=85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (7, 3), (7, 7), (8, 7), (9, 9)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, [*texts, (9, "alone here"), (9, "not alone")]), SF_DIR)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, two + " more"), (7, one), (9, "alone here"), (9, "not alone")]
+
+
+def test_bins_of_very_large_sets():
+    hashes = np.arange(300_000, dtype=np.uint64) << np.uint64(30)
+    counted = np.frombuffer(minhash.Signer(3).bins(hashes), np.uint32)
+    assert counted.sum() == 300_000 and counted.max() > 65_535
