@@ -44,7 +44,7 @@ class Part(InputPartition):
     """A folder to walk, its own files dealt by name, a single file, or an error found while planning."""
 
     path: str
-    kind: str  # tree, own, file, error
+    kind: str  # tree, own, file, error, nothing
     at: int = 0
     of: int = 1
     what: str = ""
@@ -120,7 +120,8 @@ class CorpusReader(DataSourceReader):
                 of = -(-n // FILES_PER_PART)
                 parts += [Part(folder, "own", at, of) for at in range(of)]
             frontier = below
-        return parts + [Part(p, "tree") for p in frontier]
+        parts += [Part(p, "tree") for p in frontier]
+        return parts or [Part("", "nothing")]  # Spark wants one
 
     def _listed(self, folder: str, opened: dict) -> tuple[list[str], int]:
         """Sub-folders that are no links and not ignored, and how many other entries are source files by name."""
@@ -147,6 +148,8 @@ class CorpusReader(DataSourceReader):
     def _rows(self, part: Part, opened: dict) -> Iterator[dict]:
         if part.kind == "error":
             yield {"path": part.path, "kind": part.what, "error": part.error}
+        elif part.kind == "nothing":
+            return
         elif part.kind == "file":
             yield self._file(part.path, part.path, opened)
         else:
