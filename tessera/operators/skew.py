@@ -117,3 +117,32 @@ def row_numbers(
         .withColumn(output, (F.col("_local") + F.col("_offset")).cast("long"))
         .drop("_range", "_local", "_offset")
     )
+
+
+def following(rows: DataFrame, group: str, key: str, counts: str, output: str) -> DataFrame:
+    """Add to each row the smallest larger ``key`` of its group among the rows where ``counts`` holds, or null.
+
+    One sort over ranges of group and key. Inside a range a running window looks back from the largest key; a row whose
+    range holds no answer takes the first key of a later range. Only groups that cross a border need that, and a border
+    is crossed by one group, so the table of first keys has less than two rows per range and may be broadcast.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, F.col(group), F.col(key), (~F.col(counts)).alias("_last"))
+    ranged = stage(ranged.withColumn("_range", F.spark_partition_id()), "following")
+    counted = F.when(F.col(counts), F.col(key))
+    borders = Window.partitionBy(group)
+    heads = (
+        ranged.groupBy(group, "_range").agg(F.min(counted).alias("_head"))
+        .withColumn("_ranges", F.count(F.lit(1)).over(borders))
+        .filter(F.col("_ranges") > 1)
+    )
+    later = borders.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(group, "_range", F.last("_head", ignorenulls=True).over(later).alias("_beyond"))
+    back = Window.partitionBy(group, "_range").orderBy(F.col(key).desc(), F.col(counts).asc())
+    inside = F.last(counted, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        ranged.withColumn("_inside", inside)
+        .join(F.broadcast(heads), [group, "_range"], "left")
+        .withColumn(output, F.coalesce("_inside", "_beyond"))
+        .drop("_range", "_inside", "_beyond")
+    )
