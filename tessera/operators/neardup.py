@@ -228,6 +228,77 @@ def sketch_pairs(index: SketchIndex) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "inter", uni.alias("uni"), "jaccard")
 
 
+@dataclass(frozen=True)
+class PairGroups:
+    """All gated pairs of units, factorised: no pair is listed that two groups of copies imply."""
+
+    groups: DataFrame  # group (its smallest key), n, size, n_links: gated partners of each of its members
+    members: DataFrame  # key, group, size
+    links: DataFrame  # a, b, n_a, n_b, size_a, size_b, inter, uni, jaccard, pairs; a = b for the pairs inside a group
+
+
+def pair_groups(index: SketchIndex) -> PairGroups:
+    """The complete result of the pair join over units, in space that is linear in units and links of *sketches*.
+
+    Units with one sketch are a group. Each unit of ``a`` pairs with each unit of ``b`` where a link joins the two, and
+    with each other unit of its own group; ``pairs`` counts these. Units without a usable sketch are in no group.
+    """
+    sizes = index.members.filter(F.col("key") == F.col("rep")).select("key", F.col("copies").alias("size"))
+    sizes = stage(sizes.join(index.units.select("key", "n"), "key").withColumnRenamed("key", "group"), "group-sizes")
+    met = stage(sketch_pairs(index), "group-pairs")
+
+    def sized(links: DataFrame, side: str) -> DataFrame:
+        uses = links.groupBy(F.col(side)).agg(F.count(F.lit(1)).alias("_uses"))
+        dim = sizes.select(F.col("group").alias(side), F.col("size").alias(f"size_{side}")).join(uses, side)
+        return lookup_join(links, stage(dim, "group-uses"), [side], "_uses", "b" if side == "a" else "a").drop("_uses")
+
+    sides = ["a", "b", "n_a", "n_b", "size_a", "size_b", "inter", "uni", "jaccard"]
+    across = sized(sized(met, "a"), "b").select(*sides, (F.col("size_a") * F.col("size_b")).alias("pairs"))
+    own = {"a": "group", "b": "group", "size_a": "size", "size_b": "size"} | dict.fromkeys(("n_a", "n_b", "inter", "uni"), "n")
+    within = sizes.filter(F.col("size") > 1).select(
+        *[F.col(own[c]).alias(c) if c in own else F.lit(1.0).alias(c) for c in sides],
+        F.expr("size * (size - 1) div 2").alias("pairs"),
+    )
+    links = stage(across.unionByName(within), "group-links")
+    toward = links.filter(F.col("a") != F.col("b"))
+    reached = (
+        toward.select(F.col("a").alias("group"), F.col("size_b").alias("more"))
+        .unionByName(toward.select(F.col("b").alias("group"), F.col("size_a").alias("more")))
+        .groupBy("group")
+        .agg(F.sum("more").alias("more"))
+    )
+    n_links = F.col("size") - 1 + F.coalesce("more", F.lit(0))
+    groups = stage(sizes.join(reached, "group", "left").select("group", "n", "size", n_links.alias("n_links")), "groups")
+    members = index.members.select("key", F.col("rep").alias("group"), F.col("copies").alias("size"))
+    return PairGroups(groups, members, links)
+
+
+def partner_counts(found: PairGroups) -> DataFrame:
+    """``key, group, size, n_links`` of each unit in a group: how many units it is paired with, none of them listed."""
+    counts = found.groups.select("group", "size", "n_links")
+    return lookup_join(found.members.select("key", "group"), counts, ["group"], "size", "key")
+
+
+def partners_of(found: PairGroups, asked: DataFrame) -> DataFrame:
+    """``key, partner, jaccard``: every gated partner of the units ``asked(key)``, and of no others.
+
+    Only here are links turned into pairs of units. Groups are cut into blocks, the asked units apart from the others,
+    so neither a popular group nor many questions to it make a large task.
+    """
+    asking = found.members.join(asked.select("key").distinct(), "key", "left_semi")
+    side = lambda asks: F.struct(F.lit(asks).alias("asks"), F.col("group")).alias("side")
+    rows = asking.select("key", side(True)).unionByName(found.members.select("key", side(False)))
+    way = lambda a, b: found.links.select(
+        F.struct(F.lit(True).alias("asks"), F.col(a).alias("group")).alias("ga"),
+        F.struct(F.lit(False).alias("asks"), F.col(b).alias("group")).alias("gb"), "jaccard",
+    )
+    back = F.col("ga.group") != F.col("gb.group")
+    ways = way("a", "b").unionByName(way("b", "a").filter(back))
+    wanted = ways.join(asking.select(F.col("group")).distinct(), F.col("ga.group") == F.col("group"), "left_semi")
+    met = paired_members(stage(wanted, "asked-links"), stage(rows, "asked-rows"), "side", "key")
+    return met.select(F.col("a.key").alias("key"), F.col("b.key").alias("partner"), "jaccard").filter("key <> partner")
+
+
 def best_partner(candidates: DataFrame, unit: str) -> DataFrame:
     """Argmax per unit with the tie rule: highest score, then smallest partner. Combines map-side."""
     best = F.min(F.struct((-F.col("score")).alias("worse"), F.col("partner")))

@@ -2,7 +2,7 @@
 
 ``percentile`` interpolates between order statistics and its state is one counter per distinct value, combined map-side.
 The metrics are whole numbers of lines, nodes or comments, and shares rounded to 3 places, so that state stays small
-however many units there are.
+however many units there are. ``continuous_summary`` is for columns that are not: its quantiles sort over all tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import exact_quantiles, same_columns
+
 QUANTILES = (0.5, 0.9)
 
 # The metrics a summary can be asked for.
@@ -116,6 +118,17 @@ def generic_summary(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def continuous_summary(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Like ``generic_summary`` for one column whose values are mostly different; missing values are left out."""
+    x = F.col(column).cast("double")
+    ends = [F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.sum(x).alias("total")]
+    stats = _summary(rows.filter(x.isNotNull()), by, F.count(F.lit(1)).alias("n"), *ends).filter(F.col("n") > 0).alias("s")
+    found = exact_quantiles(rows, by, column, QUANTILES)
+    at = lambda q, name: F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(name)
+    ranks = _summary(found, by, at(QUANTILES[0], "median"), at(QUANTILES[1], "p90"), F.max("n").alias("n")).alias("r")
+    return stats.join(ranks, same_columns("s", "r", [*by, "n"])).select("s.*", "median", "p90")
+
+
 def scaled(leaves: DataFrame, column: str) -> DataFrame:
     """Add ``scaled``: the metric's place in its range over all leaves, 0 to 1; 0.5 where all are equal."""
     x = _zero(column)

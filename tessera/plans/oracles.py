@@ -160,6 +160,30 @@ ORACLES = {
     FROM rp a JOIN rp b ON a.h = b.h AND a.k < b.k
     GROUP BY a.k, b.k, a.n, b.n
     HAVING count(*) / (a.n + b.n - count(*)) >= 0.3""",
+    "neardup_groups": f"""
+    WITH {_DOC_TOKENS}, {_SKETCH},
+    named AS (SELECT k, min(k) OVER (PARTITION BY fp) AS g, count(*) OVER (PARTITION BY fp) AS size FROM sk),
+    gated AS (
+      SELECT a.k AS a, b.k AS b, count(*) AS inter, a.n + b.n - count(*) AS uni
+      FROM post a JOIN post b ON a.h = b.h AND a.k < b.k
+      GROUP BY a.k, b.k, a.n, b.n
+      HAVING count(*) / (a.n + b.n - count(*)) >= 0.3),
+    pairs AS (
+      SELECT CASE WHEN x.g <= y.g THEN x.g ELSE y.g END AS a, CASE WHEN x.g <= y.g THEN y.g ELSE x.g END AS b,
+             CASE WHEN x.g <= y.g THEN x.size ELSE y.size END AS size_a,
+             CASE WHEN x.g <= y.g THEN y.size ELSE x.size END AS size_b, inter, uni
+      FROM gated JOIN named x ON x.k = gated.a JOIN named y ON y.k = gated.b)
+    SELECT a, b, size_a, size_b, inter, uni, round(inter / uni, 6) AS jaccard, count(*) AS pairs
+    FROM pairs GROUP BY a, b, size_a, size_b, inter, uni""",
+    "neardup_links": f"""
+    WITH {_DOC_TOKENS}, {_SKETCH}, {_BEST},
+    n AS (SELECT k, count(*) AS n_links FROM both_ways GROUP BY k)
+    SELECT sk.k AS doc_id, min(sk.k) OVER (PARTITION BY fp) AS group_id, count(*) OVER (PARTITION BY fp) AS size,
+           coalesce(n_links, 0) AS n_links
+    FROM sk LEFT JOIN n ON sk.k = n.k""",
+    "neardup_partners": f"""
+    WITH {_DOC_TOKENS}, {_SKETCH}, {_BEST}
+    SELECT k AS doc_id, other AS other_id, round(j, 6) AS jaccard FROM both_ways WHERE k % 50 = 0""",
     "neardup_best": f"""
     WITH {_DOC_TOKENS}, {_SKETCH}, {_BEST}
     SELECT k AS doc_id, round(j, 6) AS score, other AS other_id, other::VARCHAR AS other, {_LINES} AS lines_other
@@ -235,6 +259,16 @@ ORACLES = {
         FROM lineitem GROUP BY l_returnflag"""
         for m in ("l_quantity", "l_discount", "l_tax")
     ),
+    "quantiles_lineitem": " UNION ALL ".join(
+        f"""SELECT l_returnflag, {q}::DOUBLE AS q, count(l_extendedprice) AS n,
+        round(quantile_cont(l_extendedprice, {q}), 4) AS quantile FROM lineitem GROUP BY l_returnflag"""
+        for q in (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
+    ),
+    "summary_events": f"""
+    SELECT event_type, count(value) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean,
+           round(sum(value), 6) AS total, round(quantile_cont(value, 0.5), 6) AS median,
+           round(quantile_cont(value, 0.9), 6) AS p90
+    FROM events WHERE value IS NOT NULL GROUP BY event_type""",
     "summary_dup_weighted": f"""
     WITH {_DOC_TOKENS}, {_SKETCH}, {_BEST},
     scored AS (SELECT {_LINES} AS n, coalesce(round_even(j, 3), 0) AS x FROM documents LEFT JOIN best ON doc_id = k)

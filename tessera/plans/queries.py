@@ -19,7 +19,17 @@ from tessera.functions.text import (
 )
 from tessera.operators import hierarchy, summary
 from tessera.operators.extract import render_corpus
-from tessera.operators.neardup import attach_matches, best_by_sketch, build_index, sketch_pairs, sketch_units
+from tessera.operators.neardup import (
+    attach_matches,
+    best_by_sketch,
+    build_index,
+    pair_groups,
+    partner_counts,
+    partners_of,
+    sketch_pairs,
+    sketch_units,
+)
+from tessera.operators.quantiles import exact_quantiles
 from tessera.operators.scoring import best_by_text, score_pairs
 from tessera.plans.analysis import Report
 from tessera.plans.rendered import render_files
@@ -34,6 +44,7 @@ PROSE_MARKERS = ("the", "que", "der", "los")
 IGNORED_DIRS = ("/spam-farm.example.org", "/www.cheap-pills.example.com/en")
 IGNORED_FILES = ("/blog.tionsh.example.net/es/533",)
 CHAIN = "/data/corpus"
+CONTINUOUS_QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
 
 
 def _r6(x: Column, name: str) -> Column:
@@ -121,6 +132,25 @@ def neardup_pairs(spark, sf_dir):
     return _rounded(sketch_pairs(build_index(_document_tokens(spark, sf_dir))), "jaccard")
 
 
+def neardup_groups(spark, sf_dir):
+    """All gated pairs of documents as pairs of groups of copies, with the number of pairs that each stands for."""
+    links = pair_groups(build_index(_document_tokens(spark, sf_dir))).links
+    return _rounded(links.select("a", "b", "size_a", "size_b", "inter", "uni", "jaccard", "pairs"), "jaccard")
+
+
+def neardup_links(spark, sf_dir):
+    """Each document's group of copies and its number of gated partners."""
+    counts = partner_counts(pair_groups(build_index(_document_tokens(spark, sf_dir))))
+    return counts.select(F.col("key").alias("doc_id"), F.col("group").alias("group_id"), "size", "n_links")
+
+
+def neardup_partners(spark, sf_dir):
+    """Every gated partner of the documents that are asked for: those with an id divisible by 50, among all."""
+    asked = _documents(spark, sf_dir).filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("key"))
+    found = partners_of(pair_groups(build_index(_document_tokens(spark, sf_dir))), asked)
+    return found.select(F.col("key").alias("doc_id"), F.col("partner").alias("other_id"), _r6(F.col("jaccard"), "jaccard"))
+
+
 def neardup_best(spark, sf_dir):
     """Each document's nearest copy by sketch, with the partner's name and lines."""
     best = best_by_sketch(build_index(_document_tokens(spark, sf_dir)))
@@ -298,6 +328,20 @@ def summary_lineitem(spark, sf_dir):
     return stats.withColumns({n: F.round(n, 4) for n in ("mean", "median", "p90", "total")})
 
 
+def quantiles_lineitem(spark, sf_dir):
+    """Exact quantiles of prices, nearly all of them different, per return flag."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = exact_quantiles(items, ["l_returnflag"], "l_extendedprice", CONTINUOUS_QUANTILES)
+    return found.withColumn("quantile", F.round("quantile", 4))
+
+
+def summary_events(spark, sf_dir):
+    """The generic summary of a continuous column per event type."""
+    return _rounded(
+        summary.continuous_summary(table(spark, sf_dir, "events"), "value", ["event_type"]), "min", "max", "mean", "median", "p90", "total"
+    )
+
+
 def summary_dup_weighted(spark, sf_dir):
     documents = _documents(spark, sf_dir)
     best = best_by_sketch(build_index(_document_tokens(spark, sf_dir)))
@@ -449,10 +493,10 @@ def report_roundtrip(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        unit_lines_tokens, marker_counts, line_slice, qualified_names, shingle_sketch, neardup_pairs, neardup_best,
+        unit_lines_tokens, marker_counts, line_slice, qualified_names, shingle_sketch, neardup_pairs, neardup_groups, neardup_links, neardup_partners, neardup_best,
         neardup_pages, neardup_merged, neardup_scored, scan_files, scan_plan, scan_errors, scan_dedup_ignore, path_ancestors, dir_nodes, node_predicates,
         prune_root, subtree_nodes, subtree_weight, sibling_rank, leaf_units, node_counts, summary_expressions,
-        summary_lines, summary_generic, summary_lineitem, summary_dup_weighted, summary_ratio, summary_markers,
+        summary_lines, summary_generic, summary_lineitem, quantiles_lineitem, summary_events, summary_dup_weighted, summary_ratio, summary_markers,
         group_summary, metric_unpivot, metric_selected, metric_scaled, unit_details, topk_units, code_units, code_files,
         code_metrics, code_histogram, bad_files, text_ratio, code_type_coverage, code_summary, code_weights, code_neardup, code_duplication, report_roundtrip,
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import brute
 from tessera.functions.text import text_tokens
-from tessera.operators.neardup import best_by_sketch, build_index, sketch_pairs
+from tessera.operators.neardup import best_by_sketch, build_index, pair_groups, partner_counts, partners_of, sketch_pairs
 from tessera.operators import scoring
 from tessera.operators.scoring import Texts, best_by_text, common_length, ratio_bounds, successors
 
@@ -83,6 +83,34 @@ def test_pairs_are_those_of_distinct_sketches(spark, request, limits):
     assert {(r["a"], r["b"]): r["jaccard"] for r in rows} == expected
 
 
+@pytest.mark.parametrize("limits", ["default", "tiny"])
+def test_factorised_pairs_imply_every_pair(spark, request, limits):
+    if limits == "tiny":
+        request.getfixturevalue("tiny_limits")
+    texts = corpus(5)
+    pairs = {(a, b): j for a, b, j in brute.gated(sketches_of(texts))}
+    units = units_of(spark, texts)[1]
+    found = pair_groups(build_index(units))
+    group, members = {}, {}
+    for r in found.members.collect():
+        group[r["key"]] = r["group"]
+        members.setdefault(r["group"], []).append(r["key"])
+    implied = {}
+    for r in found.links.collect():
+        listed = {(min(x, y), max(x, y)) for x in members[r["a"]] for y in members[r["b"]] if x != y}
+        assert len(listed) == r["pairs"] and not listed & set(implied)
+        assert (r["size_a"], r["size_b"]) == (len(members[r["a"]]), len(members[r["b"]]))
+        implied |= dict.fromkeys(listed, r["jaccard"])
+    assert implied == pairs and found.links.count() < len(pairs)
+    counts = {r["key"]: r["n_links"] for r in partner_counts(found).collect()}
+    assert counts == {k: sum(k in p for p in pairs) for k in group}
+
+    asked = list(range(0, 80, 3))
+    rows = partners_of(found, spark.createDataFrame([(k,) for k in asked], "key long")).collect()
+    both = pairs | {(b, a): j for (a, b), j in pairs.items()}
+    assert sorted((r["key"], r["partner"], r["jaccard"]) for r in rows) == sorted((a, b, j) for (a, b), j in both.items() if a in asked)
+
+
 def test_text_of_frequent_characters_only(spark):
     """With 200 characters or more and none of them rare, the matcher finds no more than a common beginning."""
     plain = " ".join(["ab ba aab"] * 40)
@@ -108,6 +136,16 @@ def test_successors(spark, request, limits):
     assert {(r["key"], r["text_id"]): r["next"] for r in found} == expected
 
 
+def test_successors_move_each_row_once(spark):
+    """One copied text with many members, asked many times: the answer is a join of nothing but the rows given."""
+    members = spark.range(0, 60_000, 2).select(F.col("id").alias("key"), F.lit("x").alias("text_id"))
+    asks = spark.range(1, 60_000, 2).select(F.col("id").alias("key"), F.lit("x").alias("text_id"))
+    found = successors(asks, members)
+    assert found.filter(F.coalesce("next", F.lit(60_000)) != F.col("key") + 1).isEmpty() and found.count() == 30_000
+    plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
+
+
 def test_result_does_not_depend_on_partitioning(spark):
     texts = corpus(4)
     _, units = units_of(spark, texts)
