@@ -69,10 +69,11 @@ def forest(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.
 
 
 def _measured(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """``id, label, dim, digest, q, scale, length, error``; digest is null for a vector that links with nothing."""
-    rows = vectors.select(
-        F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")
-    )
+    """``id, label, dim, digest, q, scale, length, error, v``; digest is null for a vector that links with nothing.
+
+    ``v`` is the vector as it was given.
+    """
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,13 +97,14 @@ def _measured(vectors: DataFrame, key: str, vector: str, label: str) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(dim, pa.int32()), pa.array(digest, pa.binary()),
-                    pa.array(packed, pa.binary()), *(pa.array(floats[:, i]) for i in range(3)),
+                    pa.array(packed, pa.binary()), *(pa.array(floats[:, i]) for i in range(3)), batch.column(2),
                 ],
-                ["id", "label", "dim", "digest", "q", "scale", "length", "error"],
+                ["id", "label", "dim", "digest", "q", "scale", "length", "error", "v"],
             )
 
+    given = rows.schema["v"].dataType.simpleString()
     return rows.mapInArrow(
-        measured, "id long, label string, dim int, digest binary, q binary, scale double, length double, error double"
+        measured, f"id long, label string, dim int, digest binary, q binary, scale double, length double, error double, v {given}"
     )
 
 
@@ -114,8 +116,8 @@ def near_vectors(
     Vectors of one label, not null, are linked when their cosine in double precision is at least ``threshold``.
     ``n_links`` counts the other vectors linked directly, ``component_id`` is the smallest key that links reach. A vector
     that is null, empty, zero, or holds nulls, NaN or infinities links with nothing, and so do vectors of different
-    lengths. Equal vectors of a label are folded into one with a count, so copies cost nothing further; rows that
-    repeat a key are vectors of their own for the count and one node for the component. Other columns are not read. A
+    lengths. Equal vectors of a label are folded into one class with a number and a count, so copies cost nothing
+    further; rows that repeat a key are vectors of their own for the count and one node for the component. Other columns are not read. A
     null key links with nothing and has a null component.
 
     Each label is cut into blocks and each pair of blocks is one tile, so no task holds more than two blocks. A tile
@@ -125,8 +127,8 @@ def near_vectors(
     good = F.col("digest").isNotNull() & F.col("id").isNotNull()
     classes = stage(
         found.filter(good).groupBy("label", "digest").agg(
-            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("dim", "q", "scale", "length", "error")).alias("of")
-        ).select("label", "digest", "rep", "copies", "of.*"),
+            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("dim", "q", "scale", "length", "error", "v")).alias("of")
+        ).select(F.monotonically_increasing_id().alias("cid"), "label", "digest", "rep", "copies", "of.*"),
         "vector-classes",
     )
     blocks = stage(
@@ -134,11 +136,11 @@ def near_vectors(
         .withColumn("blocks", F.ceil(F.col("n") / block).cast("int")),
         "vector-blocks",
     )
-    placed = lookup_join(classes, blocks, ["label", "dim"], "n", "rep").withColumn(
+    placed = lookup_join(classes.drop("v"), blocks, ["label", "dim"], "n", "cid").withColumn(
         "own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     )
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies",
+        "label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "copies",
         "q", "scale", "length", "error",
     )
 
@@ -146,7 +148,7 @@ def near_vectors(
         group = group.combine_chunks()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         own = group["own"].to_numpy()
-        ids, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
+        ids, copies = group["cid"].to_numpy(), group["copies"].to_numpy()
         q = np.frombuffer(b"".join(group["q"].to_pylist()), np.int8).reshape(len(ids), -1)
         numbers = [group[c].to_numpy() for c in ("scale", "length", "error")]
         pick = [np.flatnonzero(own == x) for x in (i, j)]
@@ -175,38 +177,49 @@ def near_vectors(
         tiles.groupBy("label", "dim", "i", "j").applyInArrow(compare, "label string, kind int, a long, b long, n long"), "tiles"
     )
     # The pairs that the bounds leave open, in full precision.
-    full = (
-        vectors.select(F.col(key).cast("long").alias("rep"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-        .join(classes.select("rep", "label", "copies"), ["rep", "label"])
-        .dropDuplicates(["rep", "label"])
-    )
-    unsure = told.filter(F.col("kind") == UNSURE).select("label", "a", "b")
-    side = lambda c: full.select(F.col("rep").alias(c), "label", F.col("v").alias(f"v{c}"), F.col("copies").alias(f"n{c}"))
+    unsure = told.filter(F.col("kind") == UNSURE).select("a", "b")
+
+    def with_vector(pairs: DataFrame, side: str) -> DataFrame:
+        uses = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_uses"))
+        full = classes.select(
+            F.col("cid").alias(side), F.col("v").cast("array<double>").alias(f"v{side}"), F.col("copies").alias(f"n{side}")
+        ).join(uses, side)
+        return lookup_join(pairs, stage(full, "vector-uses"), [side], "_uses", "b" if side == "a" else "a").drop("_uses")
+
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     cosine = dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb")))
-    linked = stage(
-        unsure.join(side("a"), ["a", "label"]).join(side("b"), ["b", "label"]).filter(cosine >= threshold).select("label", "a", "b", "na", "nb"),
-        "vector-links",
-    )
+    both = with_vector(with_vector(unsure, "a"), "b")
+    linked = stage(both.filter(cosine >= threshold).select("a", "b", "na", "nb"), "vector-links")
     counted = (
-        told.filter(F.col("kind") == COUNT).select("label", "a", "n")
-        .unionAll(linked.select("label", "a", F.col("nb").alias("n")))
-        .unionAll(linked.select("label", F.col("b").alias("a"), F.col("na").alias("n")))
-        .groupBy("label", F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+        told.filter(F.col("kind") == COUNT).select("a", "n")
+        .unionAll(linked.select("a", F.col("nb").alias("n")))
+        .unionAll(linked.select(F.col("b").alias("a"), F.col("na").alias("n")))
+        .groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     )
-    edges = told.filter(F.col("kind") == EDGE).select("a", "b").unionAll(linked.select("a", "b"))
-    reached = components(edges)
-    named = stage(
-        classes.select("label", "digest", "rep", "copies")
-        .join(counted, ["label", "rep"], "left")
-        .join(reached, F.col("rep") == F.col("node"), "left")
-        .select(
-            "label", "digest", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        ),
-        "vector-named",
+
+    # Classes are also joined by a key that has vectors in both.
+    rows = lookup_join(
+        found.filter(good).select("id", "label", "digest"), classes.select("cid", "label", "digest", "copies"),
+        ["label", "digest"], "copies", "id",
     )
-    whole = lookup_join(found.filter(good).select("id", "label", "digest"), named, ["label", "digest"], "copies", "id")
+    rows = stage(rows.select("id", "cid", "copies"), "vector-rows")
+    several = rows.groupBy("id").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("n"))
+    several = stage(several.filter(F.col("low") < F.col("high")).select("id", "low", "n"), "vector-keys")
+    shared = lookup_join(rows.select("id", "cid"), several, ["id"], "n", "cid").select(F.col("cid").alias("a"), F.col("low").alias("b"))
+    edges = told.filter(F.col("kind") == EDGE).select("a", "b").unionAll(linked.select("a", "b")).unionAll(shared)
+    placed = (
+        classes.select("cid", "rep", "copies")
+        .join(counted, "cid", "left")
+        .join(components(edges).select(F.col("node").alias("cid"), "component"), "cid", "left")
+        .select("cid", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cid").alias("component"))
+    )
+    placed = stage(placed, "vector-placed")
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    named = lookup_join(placed, stage(smallest, "vector-components"), ["component"], "classes", "cid")
+    named = stage(
+        named.select("cid", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "vector-named"
+    )
+    whole = lookup_join(rows.select("id", "cid"), named, ["cid"], "copies", "id")
     alone = found.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return whole.select("id", "n_links", "component_id").unionAll(alone).select(
         F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
