@@ -99,17 +99,22 @@ def header_field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def restore(archive: Archive) -> DataFrame:
+def restore(archive: Archive, strict: bool = True) -> DataFrame:
     """Each record as ``record_id, header, payload, payload_bytes, payload_digest, verified, record_type, refers_to``.
 
     Length and SHA-1 come from the stored payload, type and reference from the stored header. ``verified`` tells that
-    the payload hashes to the digest it is stored under. Columns that a reader drops are not moved by the join.
+    the payload hashes to the digest it is stored under. With ``strict`` whoever reads a payload's length, digest or
+    bytes gets an error for one that does not; without, the row with ``verified`` false. Columns that a reader drops
+    are not moved by the join.
     """
+    intact = F.unhex(F.sha2("payload", 256)) == F.col("sha256")
+    fault = F.concat(F.lit("payload does not hash to "), F.lower(F.hex("sha256")))
+    checked = lambda c: F.when(intact, c).otherwise(F.raise_error(fault)) if strict else c
     stored = archive.payloads.select(
-        "sha256", "payload", "copies",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        (F.unhex(F.sha2("payload", 256)) == F.col("sha256")).alias("verified"),
+        "sha256", "copies", checked(F.col("payload")).alias("payload"),
+        checked(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        checked(F.sha1("payload")).alias("payload_digest"),
+        intact.alias("verified"),
     )
     whole = lookup_join(archive.headers, stored, ["sha256"], "copies", "record_id")
     refers_to = F.regexp_extract(header_field(F.col("header"), "WARC-Refers-To"), r"^<urn:record:(.*)>$", 1)
