@@ -92,7 +92,7 @@ def mix(
 
     ``size`` defaults to the number of words, ``weight`` to ``noise_weight``. A null text has size 0; documents of size
     0 and sources without words take nothing. A null source is a source of its own, last in order. Rows that repeat are
-    rows of their own, with equal keys; other columns are not read. The documents of a source are taken
+    rows of their own, with equal keys, in order of size and text; other columns are not read. The documents of a source are taken
     ``floor(target / source_size)`` times whole, then those of smallest key once more as long as their middle word lies
     within the rest, so a source misses its target by half a document at most.
     """
@@ -102,6 +102,7 @@ def mix(
         F.col(source).cast("string").alias("source"),
         (word_count(text) if size is None else size).cast("long").alias("size"),
         exponential_key(F.col(key), noise_weight(text) if weight is None else weight, seed).alias("rank_key"),
+        (F.xxhash64(text) if "text" in docs.columns else F.lit(0)).alias("text_hash"),
     ).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     drawn = stage(drawn, "mix-drawn")
     sources = stage(
@@ -111,7 +112,7 @@ def mix(
     ordered = row_numbers(sources, [], [F.col("source").asc_nulls_last()], "place")
     weights = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), ((F.col("place") - 1) % len(cycle) + 1).cast("int"))
     targets = stage(source_targets(stage(ordered.withColumn("weight", weights), "mix-weights"), most), "mix-targets")
-    totals = running_totals(drawn, "source_key", [F.col("rank_key"), F.col("key")], "size", "reached")
+    totals = running_totals(drawn, "source_key", [F.col(c) for c in ("rank_key", "key", "size", "text_hash")], "size", "reached")
     joined = lookup_join(
         totals, targets.select("source_key", "source_size", "target", "n_docs"), ["source_key"], "n_docs", "key"
     )

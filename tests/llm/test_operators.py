@@ -262,6 +262,35 @@ def test_tiles_equal_brute_force(spark):
     assert tiles.near_vectors(vectors.limit(0), 0.93).count() == 0
 
 
+def test_vectors_that_share_a_key(spark):
+    """Two vectors of one key count their own links and are one node; 9 hangs on the second, 10 and 11 on neither."""
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 0.01]), (9, [0.01, 1.0]), (10, [-1.0, 0.0]), (11, [-1.0, 0.0]), (11, [-1.0, 0.0])]
+    vectors = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, label string")
+    for at in (vectors, vectors.orderBy(F.col("vec_id").desc()), vectors.repartition(4)):
+        out = tiles.near_vectors(at, 0.93)
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect()) == [
+            (7, 1, 7), (7, 1, 7), (8, 1, 7), (9, 1, 7), (10, 2, 10), (11, 2, 10), (11, 2, 10),
+        ]
+    lone = spark.createDataFrame([(7, [1.0, 0.0], "x"), (7, [0.0, 1.0], "x"), (8, [1.0, 0.01], "x")], vectors.schema)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in tiles.near_vectors(lone, 0.93).collect()) == [(7, 0, 7), (7, 1, 7), (8, 1, 7)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_repeated_keys_equal_brute_force(spark, seed):
+    """Keys drawn anew for each vector, so many stand for several; all vectors lie so near the threshold that some pairs are unsure."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(5, 8))
+    rows = [(int(rng.integers(0, 90)), (centres[i % 5] + rng.normal(size=8) * 0.3).tolist()) for i in range(150)]
+    rows += [(95, rows[0][1]), (95, rows[1][1]), (rows[2][0], rows[2][1])]
+    vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    cos = lambda x, y: float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)))
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if cos(rows[a][1], rows[b][1]) >= 0.93]
+    count = collections.Counter(itertools.chain.from_iterable(links))
+    low = joined_components([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in links])
+    out = tiles.near_vectors(vectors, 0.93, block=16).collect()
+    assert links and sorted((r.vec_id, r.n_links, r.component_id) for r in out) == sorted((i, count[at], low[i]) for at, (i, _) in enumerate(rows))
+
+
 def test_quantisation_bounds_hold():
     x = np.random.default_rng(0).normal(size=(80, 33))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -374,6 +403,25 @@ def test_archive_round_trip(spark, tmp_path):
     assert archive.restore(archive.write_archive(pages.limit(0))).count() == 0
 
 
+def test_damaged_payload_is_an_error(spark):
+    pages = spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id long, url string, html string")
+    whole = archive.write_archive(pages)
+    bad = F.when(F.col("payload") == F.lit(b"two"), F.lit(b"tvo")).otherwise(F.col("payload"))
+    spoilt = archive.Archive(spark, whole.payloads.withColumn("payload", bad), whole.headers)
+    told = {r.record_id: r.verified for r in archive.restore(spoilt, strict=False).select("record_id", "verified").collect()}
+    assert told == {1: True, 2: False}
+    for column in ("payload_digest", "payload_bytes", "payload"):
+        with pytest.raises(Exception, match="payload does not hash to [0-9a-f]{64}"):
+            archive.restore(spoilt).select("record_id", column).collect()
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Rows of one id and weight differ in size only: the same are taken however the table is partitioned."""
+    docs = spark.createDataFrame([(1, "w " * (1 + i % 5), s) for i in range(60) for s in "abc"], "doc_id long, text string, source string")
+    taken = [sorted((r.source, r.size, r.taken) for r in mixing.mix(d).collect()) for d in (docs, docs.repartition(7), docs.orderBy("text"))]
+    assert taken[0] == taken[1] == taken[2] and any(t > 0 for _, _, t in taken[0])
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     columns, before = docs.columns, docs.count()
