@@ -141,17 +141,26 @@ def fit_trees(
     """Learn from the rows of ``docs`` where ``learn`` holds and ``lang`` and ``text`` are not null.
 
     The sample is bounded: a hash of the key picks each language's documents so that they have about ``fit_bytes``.
-    The driver gets the summed counts of runs of four bytes, which that sample bounds. Without rows to learn from
+    So that no language with a text goes missing, its text of smallest hash is always learned, up to ``fit_bytes``
+    characters where the sample left it out. The driver gets the summed counts of runs of four bytes, which that sample bounds. Without rows to learn from
     there is no language, and every text is ``und``.
     """
     known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.sum(F.octet_length(text)).alias("bytes")).collect()
+    draw = F.xxhash64(key, text)
+    sizes = (
+        known.filter(F.col(text) != "").groupBy(F.col(lang).alias("lang"))
+        .agg(F.sum(F.octet_length(text)).alias("bytes"), F.min(draw).alias("first")).collect()
+    )
     if not sizes:
         return build_trees({})
-    share = F.element_at(
-        F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, fit_bytes / max(1, r["bytes"])))]), F.col(lang)
-    )
-    sample = known.filter(share_filter(key, share)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+
+    def of_language(value) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], value(r))]), F.col(lang))
+
+    share = of_language(lambda r: min(1.0, fit_bytes / r["bytes"]))
+    drawn = F.coalesce(share_filter(key, share), F.lit(False))
+    learned = F.when(drawn, F.col(text)).when(draw == of_language(lambda r: r["first"]), F.left(F.col(text), F.lit(fit_bytes)))
+    sample = known.select(F.col(lang).alias("lang"), learned.alias("text")).filter(F.col("text").isNotNull())
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -129,6 +129,17 @@ def test_language_on_held_out_and_odd_rows(spark):
     assert {r.lang_pred for r in language.identify(docs, language.build_trees({})).collect()} == {"und"}
 
 
+def test_no_language_is_lost_by_its_sample(spark):
+    """A language whose only text is far above the budget is learned from the beginning of that text."""
+    for key in range(100, 106):
+        texts = [(i, "the cat sat on the mat and it was warm", "en") for i in range(50)]
+        docs = spark.createDataFrame([*texts, (key, "der Hund liegt im Garten und schläft " * 900, "de"), (9, "", "fr")], "doc_id long, text string, lang string")
+        trees = language.fit_trees(docs, F.lit(True), fit_bytes=3000)
+        assert trees.languages == ["de", "en"]
+        asked = spark.createDataFrame([(1, "der Hund schläft"), (2, "the cat was warm")], "doc_id long, text string")
+        assert {(r.doc_id, r.lang_pred) for r in language.identify(asked, trees).collect()} == {(1, "de"), (2, "en")}
+
+
 @pytest.mark.parametrize(("name", "label", "parts", "rest", "least"), [
     ("op2_quality", "quality", 5, 0, 0.93), ("op7_toxicity", "toxic", 4, 2, 0.93)])
 def test_classifiers_on_held_out_rows(spark, name, label, parts, rest, least):
