@@ -69,17 +69,25 @@ _CODE = """
              string_split(text, chr(10)) AS ls FROM documents),
     cnt AS (
       SELECT id, path, len(ls) AS l, len(list_filter(ls, lambda s: length(s) % 2 = 0)) AS e,
-             len(list_filter(ls, lambda s: contains(s, ','))) AS c, len(list_filter(ls, lambda s: length(s) > 40)) AS g
+             len(list_filter(ls, lambda s: contains(s, ','))) AS c, len(list_filter(ls, lambda s: length(s) > 40)) AS g,
+             '    def m(self, a: int, b):' || chr(10) || array_to_string(list_transform(ls, lambda s:
+               '        v' || md5(s)[1:8] || ' = 1' || chr(10)
+               || CASE WHEN length(s) % 2 = 0 THEN '        if x: pass' || chr(10) ELSE '' END
+               || CASE WHEN contains(s, ',') THEN '        # TODO' || chr(10) ELSE '' END), '')
+               || '        return x' || chr(10) AS method_source,
+             'def f' || id || '(p, q: int = 0) -> int:' || chr(10) || array_to_string(list_transform(
+               list_filter(ls, lambda s: length(s) > 40), lambda s: '    p = p and v' || md5(s)[1:8] || chr(10)), '')
+               || '    return p' || chr(10) AS function_source
       FROM src),
     fn AS (
       SELECT id, path, 'method' AS nodetype, 'm' AS name, 'C' || id AS class_name, 'C' || id || '.m' AS qualname,
              3 AS lineno, 2 + l + e + c AS lines, 2 + l + e AS statements, 2 + 2 * l + e AS expressions,
              0 AS expression_statements, 1 + e AS cyclomatic_complexity, 3 AS parameters, 0.333 AS type_coverage,
-             c AS todo_comments, 28 + 22 * l + 19 * e + 15 * c + 17 AS source_chars
+             c AS todo_comments, 28 + 22 * l + 19 * e + 15 * c + 17 AS source_chars, md5(method_source) AS source_md5
       FROM cnt
       UNION ALL
       SELECT id, path, 'function', 'f' || id, NULL, 'f' || id, 3 + (2 + l + e + c) + 1, 2 + g, 2 + g, 4 + 4 * g, 0, 1 + g, 2,
-             0.667, 0, length('def f' || id || '(p, q: int = 0) -> int:') + 1 + 24 * g + 13
+             0.667, 0, length('def f' || id || '(p, q: int = 0) -> int:') + 1 + 24 * g + 13, md5(function_source)
       FROM cnt)"""
 
 _CODE_TOKENS = """
@@ -120,20 +128,25 @@ _CODE_METRICS = (
     "type_coverage", "todo_comments",
 )
 
+_NO_METRICS = ", ".join("NULL" for _ in _CODE_METRICS)
+
 _CODE_NODES = f"""
     paths AS (SELECT path FROM cnt), {_ANCESTORS},
     folders AS (SELECT DISTINCT ancestor AS node_id FROM anc),
     nodes AS (
       SELECT node_id, CASE WHEN node_id = '/' THEN NULL ELSE {_PARENT.format("node_id")} END AS parent_id,
              'directory' AS nodetype, CASE WHEN node_id = '/' THEN '/' ELSE regexp_extract(node_id, '[^/]*$') END AS name,
-             '' AS qualname, NULL::INTEGER AS lineno, NULL::INTEGER AS lines FROM folders
+             '' AS qualname, NULL::INTEGER AS lineno, NULL::INTEGER AS end_lineno, '' AS docstring, md5('') AS source_md5,
+             {", ".join(f"NULL AS {m}" for m in _CODE_METRICS)} FROM folders
       UNION ALL
-      SELECT path, {_PARENT.format("path")}, 'file', regexp_extract(path, '[^/]*$'), '', NULL, NULL FROM cnt
+      SELECT path, {_PARENT.format("path")}, 'file', regexp_extract(path, '[^/]*$'), '', NULL, NULL, '', md5(''),
+             {_NO_METRICS} FROM cnt
       UNION ALL
-      SELECT path || '#1', path, 'class', 'C' || id, '', 1, NULL FROM cnt
+      SELECT path || '#1', path, 'class', 'C' || id, '', 1, 4 + l + e + c, 'Document ' || id || '.', md5(''),
+             {_NO_METRICS} FROM cnt
       UNION ALL
       SELECT path || '#' || lineno, CASE WHEN nodetype = 'method' THEN path || '#1' ELSE path END, nodetype, name, qualname,
-             lineno, lines FROM fn)"""
+             lineno, lineno + lines - 1, '', source_md5, {", ".join(_CODE_METRICS)} FROM fn)"""
 
 ORACLES = {
     "unit_lines_tokens": f"""
@@ -197,6 +210,20 @@ ORACLES = {
       UNION ALL SELECT {{'kind': 'document', 'id': doc_id}}, text FROM documents),
     {_tokens("corpus", "k", "text")}, {_SKETCH}, {_BEST}
     SELECT k.kind, k.id, round(j, 6) AS score, other.kind AS other_kind, other.id AS other_id FROM best""",
+    "neardup_extended": f"""
+    WITH long AS (
+      SELECT doc_id, text FROM documents
+      WHERE text IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) >= 25),
+    same AS (
+      SELECT doc_id, length(text) AS n, count(*) OVER (PARTITION BY text) AS copies, min(doc_id) OVER (PARTITION BY text) AS least,
+             lead(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS next FROM long),
+    found AS (
+      SELECT doc_id, CASE WHEN copies > 1 THEN 1.0 ELSE round_even(2.0::DOUBLE * n / (2 * n + 1), 3) END AS score,
+             CASE WHEN copies = 1 THEN NULL WHEN doc_id = least THEN next ELSE least END AS copy
+      FROM same)
+    SELECT 2 * doc_id AS unit_id, score, CASE WHEN copy IS NULL THEN 2 * doc_id + 1 ELSE 2 * copy END AS other_id FROM found
+    UNION ALL
+    SELECT 2 * doc_id + 1, score, CASE WHEN copy IS NULL THEN 2 * doc_id ELSE 2 * copy + 1 END FROM found""",
     "scan_dedup_ignore": f"""
     SELECT DISTINCT {_URL_PATH} AS path FROM pages
     WHERE {_URL_PATH} NOT IN ('/blog.tionsh.example.net/es/533', '/spam-farm.example.org', '/www.cheap-pills.example.com/en')
@@ -303,9 +330,9 @@ ORACLES = {
     "code_units": f"""
     WITH {_CODE}
     SELECT path, nodetype, name, class_name, qualname, lineno, lineno + lines - 1 AS end_lineno, '' AS docstring,
-           source_chars FROM fn
+           source_chars, source_md5 FROM fn
     UNION ALL
-    SELECT path, 'class', 'C' || id, NULL, '', 1, 2 + 2 + l + e + c, 'Document ' || id || '.', 0 FROM cnt""",
+    SELECT path, 'class', 'C' || id, NULL, '', 1, 2 + 2 + l + e + c, 'Document ' || id || '.', 0, md5('') FROM cnt""",
     "code_files": f"""
     WITH {_CODE} SELECT path, {_PARENT.format("path")} AS parent_id, regexp_extract(path, '[^/]*$') AS name,
            'file' AS nodetype FROM cnt""",

@@ -16,6 +16,7 @@ from tessera.functions.text import (
     path_name,
     path_parent,
     qualified_name,
+    text_tokens,
 )
 from tessera.operators import hierarchy, summary
 from tessera.operators.extract import render_corpus
@@ -187,6 +188,20 @@ def neardup_scored(spark, sf_dir):
     return attach_matches(best, document_units(documents)).withColumnRenamed("key", "doc_id")
 
 
+def neardup_extended(spark, sf_dir):
+    """The pass by exact ratio over each document and a copy of it with one more character, so that the winner is known:
+    an equal text if there is one, else the document's own other form."""
+    docs = _documents(spark, sf_dir).filter(F.col("text").isNotNull())
+    forms = F.explode(F.array(
+        F.struct((2 * F.col("doc_id")).alias("key"), F.col("text").alias("source")),
+        F.struct((2 * F.col("doc_id") + 1).alias("key"), F.concat("text", F.lit("\x01")).alias("source")),
+    )).alias("form")
+    sources = stage(spread(docs.select("doc_id", "text")).select(forms).select("form.*"), "extended")
+    index = build_index(sources.select("key", text_tokens(F.col("source")).alias("tokens")))
+    best = best_by_text(index, sources, stage(best_by_sketch(index), "best-by-sketch"))
+    return best.select(F.col("key").alias("unit_id"), round3(F.col("score")).alias("score"), F.col("partner").alias("other_id"))
+
+
 # The scan, over files that tasks have written
 
 
@@ -405,7 +420,7 @@ def code_units(spark, sf_dir):
     units = Report(_rendered(spark, sf_dir)).units
     return units.select(
         "path", "nodetype", "name", "class_name", "qualname", "lineno", "end_lineno", "docstring",
-        F.length("source").alias("source_chars"),
+        F.length("source").alias("source_chars"), F.md5("source").alias("source_md5"),
     )
 
 
@@ -487,14 +502,17 @@ def report_roundtrip(spark, sf_dir):
     path = stage_path(spark, "report")
     report.write(path)
     nodes, _ = read_report(spark, path)
-    return nodes.select("node_id", "parent_id", "nodetype", "name", "qualname", "lineno", F.col("metrics.lines").alias("lines"))
+    return nodes.select(
+        "node_id", "parent_id", "nodetype", "name", "qualname", "lineno", "end_lineno", "docstring",
+        F.md5("source").alias("source_md5"), *[F.col(f"metrics.{n}").alias(n) for n in METRIC_NAMES],
+    )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         unit_lines_tokens, marker_counts, line_slice, qualified_names, shingle_sketch, neardup_pairs, neardup_groups, neardup_links, neardup_partners, neardup_best,
-        neardup_pages, neardup_merged, neardup_scored, scan_files, scan_plan, scan_errors, scan_dedup_ignore, path_ancestors, dir_nodes, node_predicates,
+        neardup_pages, neardup_merged, neardup_scored, neardup_extended, scan_files, scan_plan, scan_errors, scan_dedup_ignore, path_ancestors, dir_nodes, node_predicates,
         prune_root, subtree_nodes, subtree_weight, sibling_rank, leaf_units, node_counts, summary_expressions,
         summary_lines, summary_generic, summary_lineitem, quantiles_lineitem, summary_events, summary_dup_weighted, summary_ratio, summary_markers,
         group_summary, metric_unpivot, metric_selected, metric_scaled, unit_details, topk_units, code_units, code_files,
