@@ -9,6 +9,7 @@ import pytest
 
 import brute
 from tessera.functions import shingles
+from tessera.functions.text import text_tokens
 from tessera.operators import extract, neardup
 from tessera.operators.scoring import SecondText, _score_batches
 
@@ -56,6 +57,23 @@ def test_sketches_equal_plain_hashes(monkeypatch, chunk):
     assert shingles.sketches_of(rows).to_pylist() == [t and sorted(brute.sketch(t)) for t in units]
 
 
+@pytest.mark.parametrize("chunk", [1, 50, 1 << 20])
+def test_texts_are_cut_where_they_are_hashed(spark, monkeypatch, chunk):
+    """Counts and sketches of texts as of their lists of tokens: numbers, all white space, nulls, several bytes a letter."""
+    rng = random.Random(chunk)
+    parts = ["a", "bc", "é", "1", "23", "4.5", ".", "1.2.3", "7.", ".7", " ", "  ", "\n", "\t", "\r", "\x0b", "\u00a0", "\U0001f600", " 12 "]
+    texts = [None, "", " ", "\n", *("".join(rng.choices(parts, k=rng.choice([1, 30, 100, 600]))) for _ in range(60)), " x 3 ", None]
+    units = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    tokens = [r.tokens for r in units.select("key", text_tokens(units.text).alias("tokens")).orderBy("key").collect()]
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", chunk)
+    n, sketches = shingles.sketches_of_texts(pa.array(["before 1", *texts]).slice(1))
+    assert n.to_pylist() == [None if t is None else len(t) for t in tokens]
+    assert sketches.to_pylist() == [sorted(brute.sketch(t)) if t and len(t) >= 25 else None for t in tokens]
+    found = neardup.sketch_units(units).orderBy("key").collect()
+    plain = neardup.sketch_units(units.select("key", text_tokens(units.text).alias("tokens"))).orderBy("key").collect()
+    assert found == plain
+
+
 def test_sizes_around_the_border_of_a_block():
     import numpy as np
 
