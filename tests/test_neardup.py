@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import brute
 from tessera.functions.text import text_tokens
 from tessera.operators.neardup import best_by_sketch, build_index, pair_groups, partner_counts, partners_of, sketch_pairs
-from tessera.operators import scoring
+from tessera.operators import neardup, scoring
 from tessera.operators.scoring import Texts, best_by_text, common_length, ratio_bounds, successors
 
 
@@ -268,3 +268,22 @@ def _next(row, x, b):
     for j, y in enumerate(b):
         out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
     return out
+
+
+@pytest.mark.parametrize("rows", [3, 1_000])
+def test_hot_sketches_are_compared_in_cells(spark, monkeypatch, tiny_limits, rows):
+    """Pairs and best partners equal brute force in small blocks too, and no pair of profiles is listed for them."""
+    def listed(index):
+        raise AssertionError("pairs of profiles are listed")
+
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(neardup, "hot_profiles", listed)
+    texts = corpus(5, units=40)
+    sketches = sketches_of(texts)
+    index = build_index(units_of(spark, texts)[1])
+    assert not index.profiles.isEmpty()
+    distinct = {s: k for k, s in sorted(sketches.items(), reverse=True) if s}
+    expected = sorted((a, b) for a, b, _ in brute.gated({k: s for s, k in distinct.items()}))
+    assert sorted((r.a, r.b) for r in sketch_pairs(index).collect()) == expected
+    best = {r.key: (r.score, r.partner) for r in best_by_sketch(index).collect()}
+    assert best == brute.best_by_jaccard(sketches)
