@@ -111,6 +111,33 @@ def test_factorised_pairs_imply_every_pair(spark, request, limits):
     assert sorted((r["key"], r["partner"], r["jaccard"]) for r in rows) == sorted((a, b, j) for (a, b), j in both.items() if a in asked)
 
 
+@pytest.mark.parametrize("limits", ["default", "tiny"])
+def test_only_what_is_asked_for_is_linked(spark, request, monkeypatch, limits):
+    """With asked units no link between two other groups is made, and no list of links is written before it is wanted."""
+    if limits == "tiny":
+        request.getfixturevalue("tiny_limits")
+    texts = corpus(9)
+    pairs = {(a, b): j for a, b, j in brute.gated(sketches_of(texts))}
+    index = build_index(units_of(spark, texts)[1])
+    asked, written = [4, 11, 30], []
+    asking = spark.createDataFrame([(k,) for k in [*asked, 4, 999]], "key long")
+    stage = neardup.stage
+    monkeypatch.setattr(neardup, "stage", lambda df, label: (written.append(df.columns), stage(df, label))[1])
+    found = pair_groups(index, asking)
+    assert not any("inter" in columns for columns in written)
+    group = {r["key"]: r["group"] for r in found.members.collect()}
+    wanted = {group[k] for k in asked if k in group}
+    links = [(r["a"], r["b"]) for r in found.links.collect()]
+    every = {tuple(sorted((group[a], group[b]))) for a, b in pairs}
+    assert len(links) == len(set(links)) and {x for x in every if wanted & set(x)} == {tuple(sorted(x)) for x in links} != every
+    assert {r["group"]: r["n_links"] for r in found.groups.collect()} == {
+        g: sum(g in p for p in pairs) for g in wanted
+    }  # a group is named by its smallest key, so its own pairs are those of that key
+    rows = partners_of(found, asking).collect()
+    expected = {(x, y): j for p, j in pairs.items() for x, y in (p, p[::-1]) if x in asked}
+    assert {(r["key"], r["partner"]): r["jaccard"] for r in rows} == expected and len(rows) == len(expected)
+
+
 def test_text_of_frequent_characters_only(spark):
     """With 200 characters or more and none of them rare, the matcher finds no more than a common beginning."""
     plain = " ".join(["ab ba aab"] * 40)
