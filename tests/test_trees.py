@@ -126,6 +126,15 @@ def test_report_is_one_json_document(spark, report, tmp_path):
     assert nodes.select(own).exceptAll(again.select(own)).isEmpty() and again.count() == nodes.count()
 
 
+def test_a_report_line_is_parsed_once(spark, tmp_path, capsys):
+    """Each level of nodes reads the parsed records; nothing that reads the nodes parses JSON again."""
+    (tmp_path / "part-0.txt").write_text(',{"name":"a.py","nodetype":"file","path":"/a.py","children":[]}\n')
+    nodes, errors = read_report(spark, str(tmp_path))
+    assert [(r["node_id"], r["parent_id"]) for r in nodes.collect()] == [("/a.py", "/")] and errors.isEmpty()
+    nodes.explain()
+    assert "from_json" not in capsys.readouterr().out
+
+
 def test_broken_report_lines_are_errors(spark, tmp_path):
     (tmp_path / "part-0.txt").write_text('{"name":"a.py","nodetype":"file","path":"/a.py","children":[]}\n{"name":\n')
     nodes, errors = read_report(spark, str(tmp_path))
