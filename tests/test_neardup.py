@@ -314,3 +314,42 @@ def test_hot_sketches_are_compared_in_cells(spark, monkeypatch, tiny_limits, row
     assert sorted((r.a, r.b) for r in sketch_pairs(index).collect()) == expected
     best = {r.key: (r.score, r.partner) for r in best_by_sketch(index).collect()}
     assert best == brute.best_by_jaccard(sketches)
+
+
+def one_header(n, seed=3):
+    """Functions with a common header and names of their own: different sketches that share the header's hashes only."""
+    rng = random.Random(seed)
+    texts = {}
+    for key in range(n):
+        names = [f"v{rng.randrange(1 << 32):08x}" for _ in range(rng.randrange(2, 5))]
+        lines = "".join(f"    p = p and {name}\n" for name in names)
+        texts[key] = f"def f ( p , q : int = 0 ) - > int :\n{lines}    return p\n"
+    return texts
+
+
+@pytest.mark.parametrize("rows", [16, 1_024])
+def test_hot_sketches_score_few_of_their_pairs(spark, monkeypatch, tiny_limits, rows):
+    """Texts whose sketches share hot hashes only: a pair is scored only if its common subsequence may still win."""
+    texts = one_header(120)
+    texts |= {200: texts[7], 201: texts[7], 202: texts[8].replace("    ", "\t"), 203: texts[9] * 3}
+    sketches = sketches_of(texts)
+    found, scored = scored_pairs(spark, monkeypatch, texts, HOT_ROWS=rows)
+    assert found == brute.best_by_ratio(sketches, texts)
+    pairs = sum(1 for _ in brute.gated(sketches))
+    assert pairs > 4_000 and scored < 0.3 * pairs
+
+
+def test_common_lengths_of_many_pairs(monkeypatch):
+    """Words that fill up, empty texts, characters of one side only; and one by one where masks would be too large."""
+    rng = random.Random(2)
+    left, right = (["".join(rng.choice(some) for _ in range(rng.randrange(0, 200))) for _ in range(12)] for some in ("abcx", "abc\U0001f600y"))
+    left += ["", "a" * 62, "a" * 124, "ab" * 62]
+    right += ["", "a" * 62, "a" * 63, "ba" * 93]
+    i, j = (x.ravel() for x in np.indices((len(left), len(right))))
+    expected = [common_length(left[x], right[y]) for x, y in zip(i, j)]
+    for at_once, most in ((8_192, 8 << 20), (33, 8 << 20), (33, 100)):
+        monkeypatch.setattr(scoring, "PAIRS_AT_ONCE", at_once)
+        monkeypatch.setattr(scoring, "MASK_WORDS", most)
+        assert scoring.common_lengths(left, right, i, j).tolist() == expected
+    assert scoring.common_lengths(left, right, i[:0], j[:0]).tolist() == []
+    assert scoring.common_lengths(["x"], ["y"], np.zeros(1, int), np.zeros(1, int)).tolist() == [0]
