@@ -1,5 +1,8 @@
+import hashlib
+import os
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -13,6 +16,7 @@ from tessera.functions.text import text_tokens
 from tessera.operators.neardup import best_by_sketch, build_index, pair_groups, partner_counts, partners_of, sketch_pairs
 from tessera.operators import neardup, scoring
 from tessera.operators.scoring import Texts, best_by_text, common_length, ratio_bounds, successors
+from tessera.session import checkpoint_root, stage
 
 
 def corpus(seed, units=60, words=400):
@@ -353,3 +357,72 @@ def test_common_lengths_of_many_pairs(monkeypatch):
         assert scoring.common_lengths(left, right, i, j).tolist() == expected
     assert scoring.common_lengths(left, right, i[:0], j[:0]).tolist() == []
     assert scoring.common_lengths(["x"], ["y"], np.zeros(1, int), np.zeros(1, int)).tolist() == [0]
+
+
+def test_texts_are_kept_once_and_hashes_are_not_kept(spark, monkeypatch, tiny_limits):
+    """What only the index needs is deleted with its end, and no text is written or the cold pairs are made a second time."""
+    labels = []
+    for module in (neardup, scoring):
+        monkeypatch.setattr(module, "stage", lambda df, label, plain=module.stage: (labels.append(label), plain(df, label))[1])
+    root = checkpoint_root(spark)
+    before = set(os.listdir(root))
+    texts = one_header(30)
+    sources, units = units_of(spark, texts)
+    index = build_index(units)
+    assert not index.profiles.isEmpty()
+    best = best_by_text(index, sources, best_by_sketch(index))
+    assert {r["key"]: (r["score"], r["partner"]) for r in best.collect()} == brute.best_by_ratio(sketches_of(texts), texts)
+    kept = {name.rpartition("-")[0] for name in set(os.listdir(root)) - before}
+    assert "ranked" in kept and not kept & {"sketches", "postings", "frequency", "distinct"}
+    assert labels.count("bodies") == labels.count("cold-pairs") == 1
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """What was shuffled for a table goes with its writing; the session's own setting stays."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(name, "false")
+    try:
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        held = lambda: {b.toString() for b in _java_list(manager.getAllBlocks()) if b.isShuffle()}
+        before = held()
+        made = stage(spark.range(1_000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+        for _ in range(50):
+            if not held() - before:
+                break
+            time.sleep(0.1)
+        assert not held() - before and made.agg(F.sum("count")).first()[0] == 1_000
+        assert spark.conf.get(name) == "false"
+    finally:
+        spark.conf.unset(name)
+
+
+def _java_list(blocks):
+    return [blocks.apply(i) for i in range(blocks.size())]
+
+
+def test_text_facts_are_those_of_column_expressions(spark):
+    texts = [(1, "a e  (x)_y, z."), (2, ""), (3, None), (4, "é\U0001f600 eee\n")]
+    rows = spark.createDataFrame([(k, k, t) for k, t in texts], "key long, sid long, source string")
+    found = {r["key"]: (r["text_id"], r["chars"], r["counts"]) for r in scoring._text_facts(rows).collect()}
+    for key, text in texts:
+        counts = [None if text is None else text.count(c) for c in scoring.COUNTED_CHARS]
+        expected = (None, None, [*counts, None]) if text is None else (hashlib.sha256(text.encode()).hexdigest(), len(text), [*counts, len(text) - sum(counts)])
+        assert found[key] == expected
+
+
+def test_pairs_of_rows_meet_over_batches(spark):
+    """One row in a batch; a text with two rows makes two rows of its pair, and one without a row none."""
+    texts = {1: "abcd xyz", 2: "abxd yz", 3: "zyx", 4: "zy x dcba"}
+    bodies = spark.createDataFrame([*texts.items(), (3, texts[3])], "text_id long, source string")
+    pairs = [(a, b, a, b, a < b, b < 4) for a in texts for b in (*texts, 5) if a != b]
+    asked = spark.createDataFrame(pairs, "ta long, tb long, a long, b long, forward boolean, backward boolean")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "1")
+    try:
+        found = sorted(map(tuple, scoring.score_pairs(asked, bodies).collect()), key=str)
+    finally:
+        spark.conf.unset(name)
+    ratio = lambda x, y: SequenceMatcher(None, texts[x], texts[y]).ratio()
+    one = [(a, b, a, b, ratio(a, b) if f else None, ratio(b, a) if k else None) for a, b, _, _, f, k in pairs if b in texts]
+    expected = [row for row in one for _ in range(2 if 3 in row[:2] else 1)]
+    assert found == sorted(expected, key=str)
